@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkfold.llm import simhash
-from inkfold.llm.common import table
+from inkfold.llm import langid, quality, simhash, toxicity
+from inkfold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +22,32 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @_query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, shingle=4)
+
+
+def _held_out(modulus: int, held: int) -> Column:
+    return F.coalesce(remainder(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out")
+
+
+def _predicted(threshold: float) -> Column:
+    return (F.col("score") >= threshold).cast("int").alias("predicted")
+
+
+@_query
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), modulus=3, held=1)
+    return quality.score(docs, model).select("doc_id", _held_out(3, 1), "score", _predicted(0.5))
+
+
+@_query
+def op7_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), modulus=4, held=2)
+    return toxicity.score(docs, model).select("doc_id", _held_out(4, 2), "score", _predicted(0.3))
+
+
+@_query
+def op3_langid_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, modulus=4, held=2)
+    return langid.predict(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score")
