@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import langid, quality, simhash, toxicity
+from inkfold.llm import decontam, langid, linededup, quality, simhash, toxicity
 from inkfold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,19 @@ def op3_langid_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, modulus=4, held=2)
     return langid.predict(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
+@_query
+def op5_line_dedup_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many went, and the MD5 of the text that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    done = linededup.dedup_lines(docs, min_sites=4, min_chars=20, counts=True)
+    return done.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+ORACLES["op5_line_dedup_site_spread"] = linededup.SQL
+
+
+@_query
+def op6_decontamination_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,11 +1,11 @@
 """Counterfactually regularised toxicity classifier.
 
-A sparse logistic model over the presence of words. For each labelled sentence that names an identity
-term, counterfactual sentences swap the term for every other term of its kind and for a neutral word;
-training penalises the squared change of the score, so identity terms end up with the weight of a
+A sparse logistic model over words and word beginnings, by presence and by rate in the text. For each
+labelled sentence that names an identity term, counterfactual sentences swap the term for every other
+term of its kind and for a neutral word; training penalises the squared change of the score, so identity terms end up with the weight of a
 neutral word unless the rest of the sentence says otherwise, and neutral mentions of a group score low.
 
-Learned from a bounded sample of labelled rows (``max_rows``), vocabulary chosen over that sample;
+Learned from a bounded sample of labelled rows (``max_rows``), stems chosen over that sample;
 every whole text is scored. Defined results: null and empty texts get the model's base score; with no
 label of either class to learn from every score is 0.5; repeated rows are each scored; rows without an
 id are scored and never learned from; other columns are ignored.
@@ -14,6 +14,7 @@ id are scored and never learned from; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,63 +37,95 @@ IDENTITY_TERMS = {
 _KIND = {term: kind for kind, terms in IDENTITY_TERMS.items() for term in terms}
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
+#: Lengths of the word beginnings that are stems beside whole words, which end in "$".
+_BEGINNINGS = range(3, 9)
+#: A stem gives one feature for each of these that holds of its count and the text's words.
+_LEVELS = ("present", "twice", "one in 300", "one in 100")
 
 
-def words(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+def words(text: str | None) -> Counter[str]:
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
+
+
+def stems(text: str | None) -> list[str]:
+    """The distinct whole words and word beginnings of a text, sorted."""
+    found = set()
+    for w in words(text):
+        found.add(f"{w}$")
+        found.update(w[:k] for k in _BEGINNINGS if k < len(w))
+    return sorted(found)
+
+
+def active(text: str | None, place: dict[str, int]) -> list[int]:
+    """Features that a text has, len(_LEVELS) for each stem of ``place``, ascending."""
+    count: dict[int, int] = {}
+    total = 0
+    for w, n in words(text).items():
+        total += n
+        if (i := place.get(f"{w}$")) is not None:
+            count[i] = count.get(i, 0) + n
+        for k in _BEGINNINGS:
+            if k >= len(w):
+                break
+            if (i := place.get(w[:k])) is not None:
+                count[i] = count.get(i, 0) + n
+    return [len(_LEVELS) * i + k for i, n in sorted(count.items()) for k, on in enumerate((True, n >= 2, n * 300 >= total, n * 100 >= total)) if on]
 
 
 def identity_mentions(text: str | None) -> list[str]:
     """Each identity term of each sentence, in order."""
     if not text or _KIND.keys().isdisjoint(words(text)):
         return []
-    return [t for s in _SENTENCE.split(text) for t in sorted(_KIND.keys() & words(s))]
+    return [t for s in _SENTENCE.split(text) for t in sorted(_KIND.keys() & words(s).keys())]
 
 
 @dataclass
-class WordModel:
-    """Words with a weight; bounded by ``max_words``."""
+class StemModel:
+    """Stems and the weights of their features; bounded by ``max_stems``."""
 
     base: float
-    weights: dict[str, float]
+    place: dict[str, int]
+    weights: np.ndarray
 
     def score(self, text: str | None) -> float:
-        z = self.base + sum(map(self.weights.__getitem__, sorted(self.weights.keys() & words(text))))
+        z = self.base + float(self.weights[active(text, self.place)].sum())
         return float(1 / (1 + np.exp(-min(max(z, -40), 40))))
 
 
 def train(
     vocabulary: list[str], rows: list[list[int]], y: np.ndarray, mentions: dict[str, int],
-    sparse: float = 0.002, ridge: float = 1e-4, counterfactual: float = 1.0, steps: int = 400,
-) -> WordModel:
+    sparse: float = 0.0003, ridge: float = 1e-4, counterfactual: float = 1.0, steps: int = 400,
+) -> StemModel:
     """Minimise mean log loss + sparse*|w| + ridge*|w|^2/2 + counterfactual * mean squared score change
-    over the counterfactual sentences, by accelerated proximal gradient steps."""
-    n, k = len(rows), len(vocabulary)
+    over the counterfactual sentences, by accelerated proximal gradient steps. rows: active features."""
+    n, k = len(rows), len(vocabulary) * len(_LEVELS)
     if n == 0 or y.min() == y.max():
-        return WordModel(0.0, {})
+        return StemModel(0.0, {}, np.zeros(0))
     x = np.zeros((n, k), np.float32)
     for i, r in enumerate(rows):
         x[i, r] = 1
     place = {w: i for i, w in enumerate(vocabulary)}
-    # swapping t for u in a sentence changes its logit by w[u] - w[t]; for the neutral word by -w[t]
-    penalty = np.zeros((k, k))
+    # swapping t for u in a sentence changes its logit by w[u] - w[t] at each level; for the neutral word by -w[t]
+    penalty = np.zeros((k, k), np.float32)
     for term, count in mentions.items():
         others = [u for u in IDENTITY_TERMS[_KIND[term]] if u != term]
         share = counterfactual * count / (n * (len(others) + 1))
-        t = place[term]
-        penalty[t, t] += share
-        for u in others:
-            change = np.zeros(k)
-            change[t], change[place[u]] = 1, -1
-            penalty += share * np.outer(change, change)
-    probe = np.ones(k)
+        for level in range(len(_LEVELS)):
+            t = place[f"{term}$"] * len(_LEVELS) + level
+            penalty[t, t] += share * (len(others) + 1)
+            for u in (place[f"{u}$"] * len(_LEVELS) + level for u in others):
+                penalty[u, u] += share
+                penalty[t, u] -= share
+                penalty[u, t] -= share
+    probe, size = np.ones(k, np.float32), 0.0
     for _ in range(20):
         probe = x.T @ (x @ probe) / n
-        size = np.linalg.norm(probe)
+        size = float(np.linalg.norm(probe))
         probe /= max(size, 1e-12)
-    step = 1 / (0.25 * (size + 1) + ridge + 2 * np.linalg.norm(penalty, 2) + 1e-9)
-    w, b, w0, b0, t = np.zeros(k), float(np.log(y.mean() / (1 - y.mean()))), np.zeros(k), 0.0, 1.0
-    b0 = b
+    step = 1 / (0.25 * (size + 1) + ridge + 2 * float(np.abs(penalty).sum(1).max()) + 1e-9)
+    w = w0 = np.zeros(k)
+    b = b0 = float(np.log(y.mean() / (1 - y.mean())))
+    t = 1.0
     for _ in range(steps):
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         m = (t - 1) / t1
@@ -100,47 +133,56 @@ def train(
         p = 1 / (1 + np.exp(-np.clip(x @ vw.astype(np.float32) + vb, -40, 40)))
         g = p - y
         w0, b0, t = w, b, t1
-        nw = vw - step * ((x.T @ g.astype(np.float32)) / n + ridge * vw + 2 * penalty @ vw)
+        nw = vw - step * ((x.T @ g.astype(np.float32)) / n + ridge * vw + 2 * (penalty @ vw.astype(np.float32)))
         w = np.sign(nw) * np.maximum(np.abs(nw) - step * sparse, 0)
         b = vb - step * g.mean()
-    return WordModel(b, {v: float(round(a, 9)) for v, a in zip(vocabulary, w) if abs(a) > 1e-6})
+    used = sorted({i // len(_LEVELS) for i in np.flatnonzero(np.abs(w) > 1e-6).tolist()})
+    kept = np.concatenate([w[i * len(_LEVELS) : (i + 1) * len(_LEVELS)] for i in used]) if used else np.zeros(0)
+    return StemModel(b, {vocabulary[i]: j for j, i in enumerate(used)}, kept)
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, max_rows: int = 20000, max_words: int = 512, least_docs: int = 8
-) -> WordModel:
-    """Learn from ``labels.toxic`` of rows whose remainder is not ``held``. Candidate words are the
-    ``max_words`` of the sample whose document counts differ most from the base rate."""
+    docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, max_rows: int = 10000, max_stems: int = 320, least_docs: int = 8
+) -> StemModel:
+    """Learn from ``labels.toxic`` of rows whose remainder is not ``held``. Candidate stems are the
+    ``max_stems`` of the sample whose document counts differ most from the base rate."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = pa.list_(pa.string())
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            yield pa.record_batch(
-                [batch.column(0), pa.array([sorted(words(x)) for x in texts], pa.list_(pa.string())), pa.array([identity_mentions(x) for x in texts], pa.list_(pa.string()))],
-                ["y", "words", "terms"],
-            )
-
-    sample = labelled_sample(docs, labels, "toxic", modulus, held, max_rows).select("y", "text")
-    seen = materialize(sample.mapInArrow(run, "y int, words array<string>, terms array<string>").dropDuplicates(["words", "y"]), "words")
+            for k in range(0, len(texts), 200):
+                part = texts[k : k + 200]
+                columns = [pa.array([f(x) for x in part], strings) for f in (stems, identity_mentions)]
+                yield pa.record_batch([batch.column(0)[k : k + 200], *columns], ["y", "stems", "terms"])
+
+    # exact copies of a text teach once
+    sample = materialize(labelled_sample(docs, labels, "toxic", modulus, held, max_rows).select("y", "text").dropDuplicates(["text"]), "sample")
+    seen = materialize(sample.mapInArrow(read, "y int, stems array<string>, terms array<string>"), "stems")
     n, positive = seen.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < positive < n:
-        return WordModel(0.0, {})
+        return StemModel(0.0, {}, np.zeros(0))
     rate = positive / n
     odd = F.abs(F.col("hits") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
     ranked = (
-        seen.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
-        .where(F.col("n") >= least_docs).orderBy(odd.desc(), "word").limit(max_words)
+        seen.select("y", F.explode("stems").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
+        .where(F.col("n") >= least_docs).orderBy(odd.desc(), "stem").limit(max_stems)
     )
-    vocabulary = sorted({r.word for r in ranked.collect()} | set(_KIND))
+    vocabulary = sorted({r.stem for r in ranked.collect()} | {f"{t}$" for t in _KIND})
     place = {w: i for i, w in enumerate(vocabulary)}
     mentions = {r.term: r.n for r in seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    wanted = F.array(*map(F.lit, vocabulary))
-    got = seen.select("y", F.array_sort(F.array_intersect("words", wanted)).alias("words")).toArrow()
-    rows = sorted((y, [place[w] for w in ws]) for y, ws in zip(got["y"].to_pylist(), got["words"].to_pylist()))
+
+    def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([active(x, place) for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))
+            yield pa.record_batch([batch.column(0), found], ["y", "at"])
+
+    got = sample.mapInArrow(place_all, "y int, at array<int>").toArrow()
+    rows = sorted(zip(got["y"].to_pylist(), got["at"].to_pylist()))
     return train(vocabulary, [r for _, r in rows], np.array([y for y, _ in rows], np.float64), mentions)
 
 
-def score(docs: DataFrame, model: WordModel) -> DataFrame:
+def score(docs: DataFrame, model: StemModel) -> DataFrame:
     """(doc_id, score) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
