@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import decontam, langid, linededup, quality, simhash, toxicity
+from inkfold.llm import ann, decontam, langid, linededup, mixing, quality, simhash, toxicity, urlrules, warc
 from inkfold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,44 @@ ORACLES["op5_line_dedup_site_spread"] = linededup.SQL
 @_query
 def op6_decontamination_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block and slot in a mix by the square root of each source's size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    return mixing.mix(docs, block_docs=16, period=1024)
+
+
+ORACLES["op1_pfair_mixing"] = mixing.SQL
+
+
+@_query
+def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"), least_bytes=0).records()
+
+
+ORACLES["op2_warc_capture_index"] = warc.SQL
+
+#: Fixed values: (verdict, host, path).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@_query
+def op8_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLES["op8_url_association_rules"] = urlrules.SQL
+
+
+@_query
+def op4_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)

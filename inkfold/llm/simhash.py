@@ -148,3 +148,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     linked = named.join(least, "root", "left").join(named.select(F.col("fp").alias("root"), F.col("least").alias("own")), "root")
     ids = linked.select("fp", F.least("own", F.coalesce("other", "own")).alias("component_id"))
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``docs`` without the rows that are linked to a row of smaller doc_id; of rows that repeat a doc_id
+    all stay or go, and rows without an id stay. Only the ids that go take part in the join."""
+    found = near_duplicates(docs, radius, shingle, seed, tile_rows)
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
