@@ -148,29 +148,37 @@ def fit(
     ``max_stems`` of the sample whose document counts differ most from the base rate."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = pa.list_(pa.string())
+        count: dict[tuple[str, bool], list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            columns = [[k for k, _ in count], [t for _, t in count], [v[0] for v in count.values()], [v[1] for v in count.values()]]
+            count.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.int64()))], ["stem", "term", "n", "hits"])
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for k in range(0, len(texts), 200):
-                part = texts[k : k + 200]
-                columns = [pa.array([f(x) for x in part], strings) for f in (stems, identity_mentions)]
-                yield pa.record_batch([batch.column(0)[k : k + 200], *columns], ["y", "stems", "terms"])
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                for key in [*((x, False) for x in stems(text)), *((x, True) for x in identity_mentions(text))]:
+                    seen = count.setdefault(key, [0, 0])
+                    seen[0] += 1
+                    seen[1] += y
+                if len(count) > 200_000:
+                    yield flush()
+        yield flush()
 
     # exact copies of a text teach once
     sample = materialize(labelled_sample(docs, labels, "toxic", modulus, held, max_rows).select("y", "text").dropDuplicates(["text"]), "sample")
-    seen = materialize(sample.mapInArrow(read, "y int, stems array<string>, terms array<string>"), "stems")
-    n, positive = seen.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < positive < n:
         return StemModel(0.0, {}, np.zeros(0))
+    counted = sample.mapInArrow(read, "stem string, term boolean, n long, hits long").groupBy("stem", "term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    counted = materialize(counted.where(F.col("term") | (F.col("n") >= least_docs)), "stems")
     rate = positive / n
     odd = F.abs(F.col("hits") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    ranked = (
-        seen.select("y", F.explode("stems").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
-        .where(F.col("n") >= least_docs).orderBy(odd.desc(), "stem").limit(max_stems)
-    )
-    vocabulary = sorted({r.stem for r in ranked.collect()} | {f"{t}$" for t in _KIND})
+    ranked = counted.where("not term").orderBy(odd.desc(), "stem").limit(max_stems).collect()
+    vocabulary = sorted({r.stem for r in ranked} | {f"{t}$" for t in _KIND})
     place = {w: i for i, w in enumerate(vocabulary)}
-    mentions = {r.term: r.n for r in seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    mentions = {r.stem: r.n for r in counted.where("term").collect()}
 
     def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
