@@ -46,7 +46,7 @@ _CTES = {
       FROM (SELECT *, x >= 6 AND x < 26 AND y >= 6 AND y < 26 AS m FROM (SELECT vec_id // 16 AS r, 8 * ((vec_id % 16) % 4) + i % 8 AS x, 8 * ((vec_id % 16) // 4) + i // 8 AS y,
         CAST(floor((CAST(v AS DOUBLE) + 1) * 127.5e0) AS BIGINT) AS src
         FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings)))""",
-    "segs": """SELECT l_orderkey AS path, CAST(l_linenumber AS BIGINT) AS seg, CAST(4 * l_quantity AS DOUBLE) AS ax, CAST((7 * l_partkey) % 200 AS DOUBLE) AS ay,
+    "segs": """SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seg, CAST(4 * l_quantity AS DOUBLE) AS ax, CAST((7 * l_partkey) % 200 AS DOUBLE) AS ay,
       CAST((13 * l_suppkey) % 200 AS DOUBLE) AS bx, CAST((3 * l_partkey + 17 * l_linenumber) % 200 AS DOUBLE) AS by_, CAST(1 + l_linenumber % 3 AS DOUBLE) AS line_width,
       CAST((11 * l_orderkey) % 160 AS DOUBLE) AS mx0, CAST((17 * l_orderkey) % 160 AS DOUBLE) AS my0,
       CAST((11 * l_orderkey) % 160 + 10 + l_orderkey % 40 AS DOUBLE) AS mx1, CAST((17 * l_orderkey) % 160 + 10 + (3 * l_orderkey) % 40 AS DOUBLE) AS my1 FROM lineitem""",

@@ -7,7 +7,7 @@ All are narrow projections of one scan; nothing is sampled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions import geometry as g
@@ -151,9 +151,13 @@ def raster_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, seg, ax, ay, bx, by, line_width and the path's mark mx0, my0, mx1, my1."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("seg"),
+    """path, seg, ax, ay, bx, by, line_width and the path's mark mx0, my0, mx1, my1. seg numbers a path's
+    lines from 1 in a total order, as line numbers repeat."""
+    keys = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *keys)
+    lines = lines.withColumn("seg", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*keys)))
+    return lines.select(
+        F.col("l_orderkey").alias("path"), F.col("seg").cast("long").alias("seg"),
         (4 * F.col("l_quantity")).cast("double").alias("ax"), F.expr("(7 * l_partkey) % 200").cast("double").alias("ay"),
         F.expr("(13 * l_suppkey) % 200").cast("double").alias("bx"), F.expr("(3 * l_partkey + 17 * l_linenumber) % 200").cast("double").alias("by"),
         (1 + F.expr("l_linenumber % 3")).cast("double").alias("line_width"),
