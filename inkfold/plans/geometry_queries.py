@@ -11,7 +11,6 @@ from inkfold.plans.registry import query
 from inkfold.plans.sql import with_
 from inkfold.sources import evidence as ev
 
-_R, _U = F.col("rotation"), F.col("user_unit")
 _XY = ("x0", "y0", "x1", "y1")
 
 
@@ -20,12 +19,12 @@ def _context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _view(spark: SparkSession, d: str) -> DataFrame:
-    return _context(spark, d).withColumn("v", g.to_viewport(g.columns(), g.crop(), _R, _U))
+    return _context(spark, d).withColumn("v", g.to_viewport(g.columns(), g.crop(), F.col("rotation"), F.col("user_unit")))
 
 
 def _back(df: DataFrame) -> DataFrame:
     v = F.col("v")
-    return df.withColumn("back", g.to_canonical(v.x, v.y, v.w, v.h, g.crop(), _R, _U))
+    return df.withColumn("back", g.to_canonical(v.x, v.y, v.w, v.h, g.crop(), F.col("rotation"), F.col("user_unit")))
 
 
 def _rounded(prefix: str, *names: str):
@@ -75,7 +74,7 @@ def round_trip_valid():
     ),
 )
 def display_size(spark, d):
-    w, h = g.display_size(g.crop(), _R, _U, 2.0)
+    w, h = g.display_size(g.crop(), F.col("rotation"), F.col("user_unit"), 2.0)
     return ev.page_evidence(spark, d).select("doc_id", "page_index", w.alias("w"), h.alias("h"))
 
 
@@ -100,7 +99,7 @@ def verify_rects(spark, d):
     ),
 )
 def normalized_rotation(spark, d):
-    raw = _R - 720 * F.expr("doc_id % 3") + F.when(F.expr("doc_id % 7 = 0"), 45).otherwise(0)
+    raw = F.col("rotation") - 720 * F.expr("doc_id % 3") + F.when(F.expr("doc_id % 7 = 0"), 45).otherwise(0)
     fuzzy = raw.cast("double") + F.when(F.expr("page_index % 2 = 0"), 0.4).otherwise(-0.5)
     return ev.page_evidence(spark, d).select("doc_id", "page_index", g.exact_rotation(raw).cast("double").alias("exact"), g.rounded_rotation(fuzzy).cast("long").alias("rounded"))
 
@@ -114,7 +113,7 @@ def page_descriptors(spark, d):
 
 
 def descriptors(pages: DataFrame) -> DataFrame:
-    ok = g.valid_context(g.crop(), _R, _U)
+    ok = g.valid_context(g.crop(), F.col("rotation"), F.col("user_unit"))
     return pages.where(ok).select("doc_id", "page_index", "cx0", "cy0", "cx1", "cy1", "rotation", "user_unit", F.when(F.col("has_text"), "text_based").otherwise("blank").alias("classification"))
 
 
@@ -142,7 +141,7 @@ _LANE = "list_reduce(list_prepend({0}::BIGINT, list_transform(string_split(s, ''
 )
 def descriptor_fingerprints(spark, d):
     box = F.concat(F.lit("["), F.concat_ws(",", *map(g.number_text, g.crop())), F.lit("]"))
-    parts = [F.col("page_index").cast("string"), box, box, F.col("rotation").cast("string"), g.number_text(_U), F.concat(F.lit('"'), F.col("classification"), F.lit('"'))]
+    parts = [F.col("page_index").cast("string"), box, box, F.col("rotation").cast("string"), g.number_text(F.col("user_unit")), F.concat(F.lit('"'), F.col("classification"), F.lit('"'))]
     canon = descriptors(ev.page_evidence(spark, d)).withColumn("canon", F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")))
     lane = lambda seed: F.lpad(F.lower(F.hex(fnv_lane(F.col("canon"), seed))), 8, "0")
     prints = canon.select("doc_id", "page_index", F.concat(lane(0x84222325), lane(0xCBF29CE4)).alias("fp"))
@@ -158,12 +157,12 @@ def descriptor_fingerprints(spark, d):
     ),
 )
 def geometry_fingerprints(spark, d):
-    return ev.page_evidence(spark, d).select("doc_id", "page_index", geometry_fingerprint().alias("geometry"), g.context_fingerprint(g.crop(), _R, _U).alias("transform"))
+    return ev.page_evidence(spark, d).select("doc_id", "page_index", geometry_fingerprint().alias("geometry"), g.context_fingerprint(g.crop(), F.col("rotation"), F.col("user_unit")).alias("transform"))
 
 
 def geometry_fingerprint():
     media = [F.lit(float(v)) for v in (0, 0, 612, 792)]
-    return F.concat_ws(",", *map(g.number_text, [*media, *g.crop()]), F.col("rotation").cast("string"), g.number_text(_U))
+    return F.concat_ws(",", *map(g.number_text, [*media, *g.crop()]), F.col("rotation").cast("string"), g.number_text(F.col("user_unit")))
 
 
 @query(
@@ -184,9 +183,9 @@ def box_normalization(spark, d):
         F.when(turned, F.col("x0")).otherwise(F.col("x1")).alias("c"), F.when(turned, F.col("y0")).otherwise(F.col("y1")).alias("e"),
     )
     box = tuple(F.col(c) for c in "abce")
-    unit = F.when(F.expr("doc_id % 44 = 0"), float("nan")).when(F.expr("doc_id % 22 = 0"), 0.0).otherwise(_U)
+    unit = F.when(F.expr("doc_id % 44 = 0"), float("nan")).when(F.expr("doc_id % 22 = 0"), 0.0).otherwise(F.col("user_unit"))
     return raw.withColumn("n", g.normalized(box)).select(
-        "doc_id", "mark_no", *[F.col(f"n.{c}").alias(f"n{c}") for c in _XY], g.valid_canonical(box, g.crop()).alias("is_canonical"), g.valid_context(g.crop(), _R, unit).alias("is_context"),
+        "doc_id", "mark_no", *[F.col(f"n.{c}").alias(f"n{c}") for c in _XY], g.valid_canonical(box, g.crop()).alias("is_canonical"), g.valid_context(g.crop(), F.col("rotation"), unit).alias("is_context"),
     )
 
 
