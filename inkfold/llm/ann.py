@@ -87,8 +87,11 @@ def _links(x: np.ndarray, m: int, degree: int) -> np.ndarray:
         rank = np.arange(len(a)) - np.searchsorted(a, a)
         kept = rank < degree
         out[a[kept], rank[kept]] = b[kept]
-        out[:-1, degree] = np.arange(1, n)
-        out[1:, degree + 1] = np.arange(n - 1)
+        for column, step in ((degree, 1), (degree + 1, -1)):
+            beside = np.arange(n) + step
+            known = (out[:, :degree] == beside[:, None]).any(1)
+            # a neighbour listed twice would take two places in a beam
+            out[:, column] = np.where(known | (beside < 0) | (beside >= n), -1, beside)
     return out
 
 

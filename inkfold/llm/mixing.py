@@ -89,9 +89,9 @@ def mix(docs: DataFrame, block_docs: int = 16, weights: dict[str, float] | None
 
     text = json.dumps([{"s": s, "i": i, "a": share[s], "slot": slot} for s, i, slot in planned])
     table = spark.range(1, numPartitions=1).select(
-        F.inline(F.from_json(F.lit(text), "array<struct<s:string,i:long,a:long,slot:long>>")).alias("s", "i", "a", "slot")
+        F.inline(F.from_json(F.lit(text), "array<struct<s:string,i:long,a:long,slot:long>>")).alias("__source", "__i", "__share", "__slot")
     )
-    shares = table.where("i = 0").select(F.col("s").alias("__source"), F.col("a").alias("__share"))
+    shares = table.where("__i = 0").select("__source", "__share")
     # about 20000 rows a bucket; the numbering does not depend on the number of buckets
     digits, n = 1, sum(counts.values())
     while 16**digits * 20000 < n and digits < 8:
@@ -103,12 +103,12 @@ def mix(docs: DataFrame, block_docs: int = 16, weights: dict[str, float] | None
     starts = per_bucket.select("__source", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy("__source", "__bucket").orderBy("__key", "doc_id")
     ranked = keyed.withColumn("__row", F.row_number().over(within)).join(starts, ["__source", "__bucket"])
-    ranked = ranked.withColumn("__rank", F.col("__start") + F.col("__row") - 1).withColumn("mix_block", F.expr(f"__rank div {block_docs}"))
-    ranked = ranked.join(F.broadcast(shares), "__source").withColumn("__i", F.col("mix_block") % F.col("__share"))
-    placed = ranked.join(F.broadcast(table.select(F.col("s").alias("__source"), F.col("i").alias("__i"), "slot")), ["__source", "__i"])
-    slot = F.expr(f"mix_block div __share * {period}") + F.col("slot")
+    ranked = ranked.withColumn("__rank", F.col("__start") + F.col("__row") - 1).withColumn("__block", F.expr(f"__rank div {block_docs}"))
+    ranked = ranked.join(F.broadcast(shares), "__source").withColumn("__i", F.col("__block") % F.col("__share"))
+    placed = ranked.join(F.broadcast(table.select("__source", "__i", "__slot")), ["__source", "__i"])
+    slot = F.expr(f"__block div __share * {period}") + F.col("__slot")
     return placed.select(
-        *docs.columns, "mix_block", slot.alias("mix_slot"), (F.col("__rank") % block_docs).alias("mix_place"), (slot < horizon).alias("in_mix")
+        *docs.columns, F.col("__block").alias("mix_block"), slot.alias("mix_slot"), (F.col("__rank") % block_docs).alias("mix_place"), (slot < horizon).alias("in_mix")
     )
 
 
