@@ -221,7 +221,7 @@ def build_index(vectors: DataFrame, keep_ids: int, shard_rows: int, m: int) -> t
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 16384, m: int = 16, width: int = 128, block_rows: int = 512
+    vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 16384, m: int = 16, width: int = 256, block_rows: int = 512
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of ``vectors`` (vec_id, embedding) of each row of
     ``queries`` (the same columns), itself left out; score is the Euclidean distance."""
