@@ -27,6 +27,7 @@ from inkfold.llm.common import blocks, remainder, utf8
 
 #: blank, 26 letters, 128 bytes of multi-byte characters
 SYMBOLS = 155
+BUCKETS = 32
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[65:91] = _FOLD[97:123] = np.arange(1, 27)
 _FOLD[128:] = np.arange(27, 155)
@@ -165,11 +166,14 @@ def build(langs: list[str], lang: np.ndarray, keys: np.ndarray, counts: np.ndarr
 
 def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 600, order: int = 4, max_nodes: int = 12000) -> ContextModel:
     """Learn from text and non-null lang of rows whose remainder is not ``held``: of each language at
-    most ``per_lang`` rows, whole, chosen by a hash of doc_id. Only gram counts reach the driver."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    most ``per_lang`` rows, whole, chosen by a hash of doc_id. The hash deals a language's rows to
+    BUCKETS, each of which gives its share, so no task ranks a whole language. Only gram counts reach
+    the driver."""
+    rank = F.row_number().over(Window.partitionBy("lang", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = (
         docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
-        .distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang).drop("rank")
+        .distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+        .withColumn("rank", rank).where(F.col("rank") <= -(-per_lang // BUCKETS)).select("doc_id", "lang")
     )
     langs = sorted(r.lang for r in chosen.select("lang").distinct().collect())
     index = {x: i for i, x in enumerate(langs)}

@@ -92,9 +92,9 @@ def mix(docs: DataFrame, block_docs: int = 16, weights: dict[str, float] | None
         F.inline(F.from_json(F.lit(text), "array<struct<s:string,i:long,a:long,slot:long>>")).alias("__source", "__i", "__share", "__slot")
     )
     shares = table.where("__i = 0").select("__source", "__share")
-    # about 20000 rows a bucket; the numbering does not depend on the number of buckets
+    # about 4000 rows a bucket; the numbering does not depend on the number of buckets
     digits, n = 1, sum(counts.values())
-    while 16**digits * 20000 < n and digits < 8:
+    while 16**digits * 4000 < n and digits < 8:
         digits += 1
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     keyed = named.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, digits))
