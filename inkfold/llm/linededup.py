@@ -55,9 +55,11 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
 def removals(docs: DataFrame, min_sites: int, min_chars: int, lg_k: int = 12) -> DataFrame:
     """(doc_id, text key, cut) of the documents that lose lines; cut lists the positions."""
     lines = materialize(line_table(docs, min_chars), "lines")
-    shared = materialize(lines.join(boilerplate(lines, min_sites, lg_k), "h").drop("site"), "shared")
+    # written tables have known sizes: a small one is broadcast at once and a line that very many
+    # documents share is never dealt by its hash; a large one joins by shuffle, skewed keys split
+    shared = materialize(lines.join(materialize(boilerplate(lines, min_sites, lg_k), "boilerplate"), "h").drop("site"), "shared")
     spot = F.struct("doc_id", _KEY, "pos")
-    first = shared.groupBy("h").agg(F.min(spot).alias("first"))
+    first = materialize(shared.groupBy("h").agg(F.min(spot).alias("first")), "first")
     later = shared.join(first, "h").where(~spot.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", _KEY).agg(F.collect_set("pos").alias(_CUT))
 

@@ -265,6 +265,9 @@ def wide_links(nodes: DataFrame, first: int, both: int, tile_rows: int = WIDE_TI
         "wide-tiles",
     )
     reach = [(i, j) for i, x in enumerate(bands) for j, y in enumerate(bands) if i <= j and y[0] - x[1] <= first]
+    # a task per pair of tiles, as far as a few for each shuffle partition go: their work is not in their bytes
+    count = sum(bands[i][2] * bands[j][2] for i, j in reach)
+    tasks = max(1, min(count, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     steps = spark.range(1, numPartitions=1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("band"), F.lit(j).alias("other")) for i, j in reach] or [F.struct(F.lit(-2).alias("band"), F.lit(-2).alias("other"))])))
     left = tiles.withColumnRenamed("rows", "left").join(F.broadcast(steps), "band").select(F.col("band").alias("from_band"), F.col("part").alias("from_part"), F.col("other").alias("band"), "left")
     pairs = left.join(tiles.withColumnRenamed("rows", "right"), "band").where("from_band < band or part >= from_part").select("left", "right")
@@ -282,7 +285,7 @@ def wide_links(nodes: DataFrame, first: int, both: int, tile_rows: int = WIDE_TI
                 far = name[i] != name[j]
                 yield pa.record_batch([pa.array(name[i][far]), pa.array(name[j][far])], ["a", "b"])
 
-    return pairs.repartition(F.xxhash64(F.element_at("left", 1), F.element_at("right", 1))).mapInArrow(run, "a long, b long")
+    return pairs.repartition(tasks, F.xxhash64(F.element_at("left", 1), F.element_at("right", 1))).mapInArrow(run, "a long, b long")
 
 
 def similar_edges(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
