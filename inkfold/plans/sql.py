@@ -10,7 +10,7 @@ _CTES = {
     "boxed": "SELECT doc_id, n, ord, str, page_index, x AS x0, y - 3 AS y0, x + w AS x1, y + 10 AS y1 FROM placed",
     "marks": """SELECT doc_id, k AS mark_no, wi // 400 AS page_index, 35e0 + 54 * (wi % 10) AS x0, 738e0 - 18 * ((wi // 10) % 40) AS y0,
       96e0 + 54 * (wi % 10) AS x1, 749e0 - 18 * ((wi // 10) % 40) AS y1
-      FROM (SELECT doc_id, k, (7 * doc_id + 131 * k) % len(ws) AS wi FROM words, (SELECT unnest(range(1, 4)) AS k) WHERE doc_id % 2 = 0 AND len(ws) > 0)""",
+      FROM (SELECT doc_id, k, (7 * doc_id + 131 * k) % len(ws) AS wi FROM words, (SELECT unnest(range(1, 4)) AS k) WHERE len(ws) > 0)""",
     "hits": """SELECT DISTINCT i.doc_id, i.ord FROM boxed i JOIN marks m ON i.doc_id = m.doc_id AND i.page_index = m.page_index
       AND i.x0 <= m.x1 AND m.x0 <= i.x1 AND i.y0 <= m.y1 AND m.y0 <= i.y1""",
     "cand": "SELECT b.* FROM boxed b LEFT JOIN hits h ON b.doc_id = h.doc_id AND b.ord = h.ord WHERE h.ord IS NULL OR b.doc_id % 10 = 4",

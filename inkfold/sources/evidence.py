@@ -45,8 +45,8 @@ def boxed_items(items: DataFrame) -> DataFrame:
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, mark_no, page_index, x0, y0, x1, y1: three rectangles per document of even id."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.size(_words()).cast("long").alias("n")).where("n > 0")
+    """doc_id, mark_no, page_index, x0, y0, x1, y1: three rectangles per document that has words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(_words()).cast("long").alias("n")).where("n > 0")
     at = docs.select("doc_id", "n", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)])).alias("mark_no"))
     at = at.withColumn("wi", (7 * F.col("doc_id") + 131 * F.col("mark_no")) % F.col("n"))
     x = (36 + 54 * (F.col("wi") % 10)).cast("double")
