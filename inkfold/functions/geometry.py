@@ -137,7 +137,9 @@ def with_text_box(items: DataFrame) -> DataFrame:
     # the upward direction is the baseline turned by a quarter: (-uy, ux)
     xs = [e + uy * below, e + ux * w + uy * below, e - uy * above, e + ux * w - uy * above]
     ys = [f - ux * below, f + uy * w - ux * below, f + ux * above, f + uy * w + ux * above]
-    out = out.withColumns({"x0": F.least(*xs), "y0": F.least(*ys), "x1": F.greatest(*xs), "y1": F.greatest(*ys)})
+    # never null, and said so: else joins on the box push null tests, with all of the above, below the items
+    edges = {"x0": F.least(*xs), "y0": F.least(*ys), "x1": F.greatest(*xs), "y1": F.greatest(*ys)}
+    out = out.withColumns({k: F.coalesce(v, F.lit(float("nan"))) for k, v in edges.items()})
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 

@@ -17,9 +17,15 @@ def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: White space to collapse, or a character that may be a format character or Unicode white space.
+_UNSETTLED = r"[^\x{21}-\x{7E}\x{A1}-\x{AC}\x{AE}-\x{24F} ]|^ | $|  "
+
+
 def collapsed(s: Column) -> Column:
-    """Format characters dropped, white space (Unicode) collapsed to one blank and trimmed; assumes NFC."""
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\p{Cf}", ""), r"(?U)\s+", " "))
+    """Format characters dropped, white space (Unicode) collapsed to one blank and trimmed; assumes NFC.
+    A single scan finds the texts that need none of it."""
+    settled = F.trim(F.regexp_replace(F.regexp_replace(s, r"\p{Cf}", ""), r"(?U)\s+", " "))
+    return F.when(~s.rlike(_UNSETTLED), s).otherwise(settled)
 
 
 def normalized_values(df: DataFrame, column: str, to: str) -> DataFrame:
@@ -32,4 +38,5 @@ def normalized_values(df: DataFrame, column: str, to: str) -> DataFrame:
 
 
 def visible(s: Column) -> Column:
-    return F.coalesce(collapsed(s) != "", F.lit(False))
+    """Something remains after normalisation; a printing ASCII character decides at once."""
+    return F.coalesce(s.rlike("[!-~]") | (collapsed(s) != ""), F.lit(False))

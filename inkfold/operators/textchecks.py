@@ -13,6 +13,10 @@ PAGE = ["doc_id", "page_index"]
 
 
 def _pairs(items: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """Items that touch marks. The planner's size of exploded items is that of their documents, so for an
+    inner join, which could build from either side, a merge is asked for."""
+    if how == "inner":
+        items = items.hint("merge")
     m = marks.select(*[F.col(c).alias(f"m_{c}") for c in marks.columns])
     same = (items.doc_id == m.m_doc_id) & (items.page_index == m.m_page_index)
     return items.join(m, same & touches(columns(), columns("m_")), how)
@@ -39,7 +43,8 @@ def text_checks(marks: DataFrame, candidate: DataFrame) -> DataFrame:
     m = marks.select("doc_id", "mark_no", "page_index", *[F.col(c).alias(f"m_{c}") for c in ("x0", "y0", "x1", "y1")])
     c = candidate.where(visible(F.col("str"))).select(F.col("doc_id").alias("c_doc"), F.col("page_index").alias("c_page"), "x0", "y0", "x1", "y1")
     same = (m.doc_id == c.c_doc) & (m.page_index == c.c_page) & touches(columns(), columns("m_"))
-    hits = m.join(c, same, "left_semi").select("doc_id", "mark_no", F.lit(True).alias("hit"))
+    # as above: the items' side must not be taken for a small one
+    hits = m.join(c.hint("merge"), same, "left_semi").select("doc_id", "mark_no", F.lit(True).alias("hit"))
     out = marks.join(hits, ["doc_id", "mark_no"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     return out.select(
         "doc_id", "mark_no", "page_index", F.when(F.col("hit"), "fail").otherwise("pass").alias("outcome"),
