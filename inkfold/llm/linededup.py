@@ -66,14 +66,15 @@ def removals(docs: DataFrame, min_sites: int, min_chars: int, lg_k: int = 12) ->
 
 def dedup_lines(docs: DataFrame, min_sites: int = 4, min_chars: int = 20, lg_k: int = 12, counts: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with repeated boilerplate lines cut from ``text``; with
-    ``counts`` also n_lines and n_removed."""
+    ``counts`` also n_lines and n_removed, in place of columns of those names."""
     cut = materialize(removals(docs, min_sites, min_chars, lg_k), "cut")
     left = docs.withColumn(_KEY, F.xxhash64("text"))
     right = cut.select(F.col("doc_id").alias("__id"), F.col(_KEY).alias("__right_key"), _CUT).hint("shuffle_hash")
     joined = left.join(right, left.doc_id.eqNullSafe(right["__id"]) & (left[_KEY] == right["__right_key"]), "left")
     kept = F.array_join(F.filter(_lines("text"), lambda x, i: ~F.array_contains(_CUT, i)), "\n")
     text = F.when(F.col(_CUT).isNull(), F.col("text")).otherwise(kept)
-    out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    own = ("n_lines", "n_removed") if counts else ()
+    out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in own]
     if counts:
         out += [F.coalesce(F.size(_lines("text")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(_CUT), F.lit(0)).cast("long").alias("n_removed")]
     return joined.select(*out)

@@ -13,7 +13,8 @@ before the first empty one, where the deviation bound holds.
 Numbering documents within a source does not gather a source in one task: rows are dealt by source and
 leading digits of their order key, numbered there, and shifted by the running counts of the buckets.
 Defined results: a null source is the source named by the empty text; null ids order by the empty text;
-rows that repeat each take a place; an empty table gives an empty result; other columns pass through.
+rows that repeat each take a place; an empty table gives an empty result; other columns pass through,
+but for those named as the mix's own, which are replaced.
 """
 
 from __future__ import annotations
@@ -107,8 +108,9 @@ def mix(docs: DataFrame, block_docs: int = 16, weights: dict[str, float] | None
     ranked = ranked.join(F.broadcast(shares), "__source").withColumn("__i", F.col("__block") % F.col("__share"))
     placed = ranked.join(F.broadcast(table.select("__source", "__i", "__slot")), ["__source", "__i"])
     slot = F.expr(f"__block div __share * {period}") + F.col("__slot")
+    own = ("mix_block", "mix_slot", "mix_place", "in_mix")
     return placed.select(
-        *docs.columns, F.col("__block").alias("mix_block"), slot.alias("mix_slot"), (F.col("__rank") % block_docs).alias("mix_place"), (slot < horizon).alias("in_mix")
+        *[F.col(c) for c in docs.columns if c not in own], F.col("__block").alias("mix_block"), slot.alias("mix_slot"), (F.col("__rank") % block_docs).alias("mix_place"), (slot < horizon).alias("in_mix")
     )
 
 

@@ -162,8 +162,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
 # decide, so two independent fingerprints are compared: tiles by the population counts of the first, then
 # both. What is close is linked by a minimum spanning forest and each of its links verified exactly.
 
-#: Expected share of differing bits at a similarity of 0.8 is 0.152; these lie two deviations above it.
-FIRST_RADIUS, BOTH_RADIUS = 16, 28
+#: The expected share of differing bits at a similarity of 0.8 is 0.152; these lie 3.6 deviations above it.
+FIRST_RADIUS, BOTH_RADIUS = 20, 34
 WIDE_TILE_ROWS = 32768
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter
+from glob import glob
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from inkfold.llm import ann, components, decontam, langid, linededup, mixing, quality, simhash, toxicity, urlrules, warc
-from inkfold.llm.common import blocks, utf8
+from inkfold.llm.common import blocks, cleanup, fresh_path, utf8
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -29,6 +30,13 @@ def test_utf8_and_blocks():
     assert list(blocks(np.array([0]), 6)) == []
 
 
+def test_cleanup_deletes_what_was_written(spark, tmp_path):
+    path = fresh_path(spark, "probe")
+    spark.range(3).write.parquet(path)
+    cleanup(spark)
+    assert not glob(f"{path.removeprefix('file:')}*")
+
+
 def test_components_against_union_find(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (110, 2))] + [(500, 500)]
@@ -313,7 +321,7 @@ def test_period_schedule_stays_within_a_block():
 
 def test_mix_keeps_all_rows_and_the_bound(spark):
     rows = [(i, f"t{i}", "hot" if i % 3 else f"s{i % 7}") for i in range(3000)] + [(1, "again", "hot"), (None, "n", None), (9999, None, "")]
-    docs = docs_of(spark, rows).withColumn("slot", F.lit("clash")).withColumn("i", F.lit(0))
+    docs = docs_of(spark, rows).withColumn("slot", F.lit("clash")).withColumn("i", F.lit(0)).withColumn("mix_slot", F.lit(-1))
     got = mixing.mix(docs, block_docs=8, period=64).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
     seats = Counter((r.mix_slot, r.mix_place) for r in got)
