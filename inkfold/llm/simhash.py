@@ -177,19 +177,21 @@ def remix(hashes: np.ndarray) -> np.ndarray:
 
 
 def double_fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, fp, fp2) per row."""
+    """(doc_id, key, fp, fp2) per row; key is the 128-bit hash of the set of shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
             raw = data.tobytes()
             found = np.zeros((2, len(at) - 1), np.uint64)
+            keys: list[bytes] = []
             for k, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 hashes = shingle_hashes(raw[s:e], shingle, seed)
+                keys.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
                 found[:, k] = vote(hashes), vote(remix(hashes))
-            yield pa.record_batch([batch.column(0), *(pa.array(f.view(np.int64)) for f in found)], ["doc_id", "fp", "fp2"])
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), *(pa.array(f.view(np.int64)) for f in found)], ["doc_id", "key", "fp", "fp2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, fp long, fp2 long")
 
 
 def lightest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,11 +315,12 @@ def drop_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed
     components of pairs at least ``similarity`` alike. Of rows that repeat a doc_id all stay or go; rows
     without an id stay; texts without words are copies of one another."""
     marked = materialize(double_fingerprints(docs.where("doc_id is not null"), shingle, seed), "double-fingerprints")
-    nodes = materialize(marked.groupBy("fp", "fp2").agg(F.min("doc_id").alias("id")), "nodes")
+    # fingerprints may differ within a set of shingles, which repeats do not change: any one of them stands for it
+    nodes = materialize(marked.groupBy("key").agg(F.min(F.struct("doc_id", "fp", "fp2")).alias("least")).select("key", F.col("least.doc_id").alias("id"), "least.fp", "least.fp2"), "nodes")
     close = materialize(wide_links(nodes, FIRST_RADIUS, BOTH_RADIUS, tile_rows).distinct(), "close")
     joined = components(similar_edges(close, docs, similarity, shingle, seed))
-    named = nodes.join(joined, nodes.id == joined.node, "left").select("fp", "fp2", F.coalesce("component", "id").alias("root"))
-    gone = marked.join(named, ["fp", "fp2"]).where("doc_id <> root").select("doc_id").distinct()
+    named = nodes.join(joined, nodes.id == joined.node, "left").select("key", F.coalesce("component", "id").alias("root"))
+    gone = marked.join(named, "key").where("doc_id <> root").select("doc_id").distinct()
     return docs.join(materialize(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
 
 

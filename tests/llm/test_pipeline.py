@@ -85,6 +85,15 @@ def test_drop_copies_against_brute_force(spark):
     assert simhash.drop_copies(docs.where("false")).count() == 0
 
 
+def test_drop_copies_keeps_unlike_texts_of_equal_fingerprints(spark):
+    filler = "so it goes on and " * 100
+    rows = [(k, filler + " ".join(f"w{k}x{i}" for i in range(40))) for k in range(6)] + [(9, filler + " ".join(f"w0x{i}" for i in range(40)))]
+    hashes = [simhash.shingle_hashes(t.encode(), 5, 42) for _, t in rows]
+    assert len({simhash.vote(h) for h in hashes}) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_copies(docs).collect()) == list(range(6))
+
+
 def test_lightest_forest_matches_a_sorted_scan():
     rng = np.random.default_rng(13)
     for _ in range(30):
