@@ -94,6 +94,23 @@ def test_drop_copies_keeps_unlike_texts_of_equal_fingerprints(spark):
     assert sorted(r.doc_id for r in simhash.drop_copies(docs).collect()) == list(range(6))
 
 
+def test_drop_copies_within_a_template(spark):
+    rng = np.random.default_rng(14)
+    template = [f"t{k}" for k in range(250)]
+    rows = []
+    for g in range(60):
+        own = [f"g{g}w{k}" for k in range(16)]
+        for c in range(2):
+            tail = [f"g{g}c{c}e{k}" for k in range(22)]
+            rows.append((10 * g + c, " ".join(template + own + tail)))
+    rng.shuffle(rows)
+    rows = [(int(i), str(t)) for i, t in rows]
+    label = groups(rows)
+    assert len(set(label.values())) == 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_copies(docs).collect()} == set(label.values())
+
+
 def test_lightest_forest_matches_a_sorted_scan():
     rng = np.random.default_rng(13)
     for _ in range(30):
