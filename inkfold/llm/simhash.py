@@ -162,11 +162,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
 # Copies by similarity. A similarity of 0.8 over shingles lies about ten bits apart, too far for 64 bits to
 # decide, so two independent fingerprints are compared: tiles by the population counts of the first, then
 # both. A first pass verifies the links of a minimum spanning forest of what is close, which joins most
-# groups; a second verifies every close pair that the first has left in two groups.
+# groups; a second verifies every close pair that the first has left in two groups. Votes are over distinct
+# shingles, as similarity is. Sets too small for the radii are joined exactly on their least hashes.
 
 #: The expected share of differing bits at a similarity of 0.8 is 0.152; these lie 3.6 deviations above it.
 FIRST_RADIUS, BOTH_RADIUS = 20, 34
 WIDE_TILE_ROWS = 32768
+#: Sets up to this size are compared with all others by exact links only: votes of a few shingles spread wider.
+FEW = 20
+FEW_TILE_ROWS = 512
 _NODE = ("id", "n", "root", "fp", "fp2")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -179,8 +183,9 @@ def remix(hashes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def double_fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, key, n, fp, fp2) per row; key is the 128-bit hash of the set of shingle hashes, n its size."""
+def double_fingerprints(docs: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
+    """(doc_id, key, n, few, fp, fp2) per row; key is the 128-bit hash of the set of shingle hashes, n its
+    size, few its sorted hashes if those of a set of ``FEW`` can be alike to it, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,15 +194,16 @@ def double_fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
             found = np.zeros((2, len(at) - 1), np.uint64)
             keys: list[bytes] = []
             sizes: list[int] = []
+            few: list[np.ndarray | None] = []
             for k, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                hashes = shingle_hashes(raw[s:e], shingle, seed)
-                distinct = np.unique(hashes)
-                keys.append(xxhash.xxh3_128_digest(distinct.tobytes()))
-                sizes.append(len(distinct))
+                hashes = np.unique(shingle_hashes(raw[s:e], shingle, seed))
+                keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                few.append(hashes.view(np.int64) if len(hashes) * similarity <= FEW + 1e-6 else None)
                 found[:, k] = vote(hashes), vote(remix(hashes))
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(f.view(np.int64)) for f in found)], ["doc_id", "key", "n", "fp", "fp2"])
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(few, pa.list_(pa.int64())), *(pa.array(f.view(np.int64)) for f in found)], ["doc_id", "key", "n", "few", "fp", "fp2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n long, fp long, fp2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n long, few array<long>, fp long, fp2 long")
 
 
 def lightest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -326,6 +332,56 @@ def wide_links(nodes: DataFrame, first: int, both: int, similarity: float, every
     return pairs.repartition(tasks, F.xxhash64(F.element_at("left", 1), F.element_at("right", 1))).mapInArrow(run, "a long, b long")
 
 
+def alike_pairs(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs (index in a, index in b) of sets at least ``similarity`` alike."""
+    shift = 0 if a is b else len(a)
+    size_a, size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    held = np.concatenate(b)
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], np.repeat(np.arange(len(b)), size_b)[order]
+    got_i, got_j = [], []
+    for i, x in enumerate(a):
+        at = zip(np.searchsorted(held, x), np.searchsorted(held, x, "right"))
+        common = np.bincount(np.concatenate([owner[s:e] for s, e in at]), minlength=len(b))
+        j = np.flatnonzero(common >= similarity * (size_a[i] + size_b - common))
+        got_i.append(np.full(len(j), i))
+        got_j.append(j + shift)
+    i, j = forest(np.concatenate(got_i), np.concatenate(got_j), shift + len(b))
+    return i, j - shift
+
+
+def few_links(nodes: DataFrame, similarity: float, tile_rows: int = FEW_TILE_ROWS) -> DataFrame:
+    """Edges (a, b) that connect all sets of few shingles at least ``similarity`` alike. nodes: id, n, few, with
+    few not empty. Of two such sets of n and m hashes one of the least n - ceil(similarity * n) + 1 is common."""
+    least = F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1
+    # a hash of one set alone links nothing
+    held = materialize(nodes.select("id", "few", F.explode(F.slice("few", F.lit(1), least.cast("int"))).alias("hash")), "few-hashes")
+    counts = held.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1")
+    parts = F.ceil(F.col("c") / tile_rows)
+    tiles = materialize(
+        held.join(counts, "hash").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        .groupBy("hash", "part").agg(F.collect_list(F.struct("id", "few")).alias("rows")),
+        "few-tiles",
+    )
+    left = tiles.select("hash", F.col("part").alias("from_part"), F.col("rows").alias("left"))
+    pairs = left.join(tiles.withColumnRenamed("rows", "right"), "hash").where("part >= from_part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right = batch.column(0)[k].values, batch.column(1)[k].values
+                ids, sets = [], []
+                for rows in (left,) if batch.column(2)[k].as_py() else (left, right):
+                    ids.append(rows.field("id").to_numpy())
+                    sets.append([x.values.to_numpy() for x in rows.field("few")])
+                i, j = alike_pairs(sets[0], sets[-1], similarity)
+                if len(i):
+                    yield pa.record_batch([pa.array(ids[0][i]), pa.array(ids[-1][j])], ["a", "b"])
+
+    pairs = pairs.select("left", "right", (F.col("part") == F.col("from_part")).alias("same"), "hash", "part", "from_part")
+    return pairs.repartition("hash", "part", "from_part").select("left", "right", "same").mapInArrow(run, "a long, b long")
+
+
 def similar_edges(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
     """The edges whose documents' sets of shingle hashes have a Jaccard similarity of at least ``similarity``."""
 
@@ -350,12 +406,12 @@ def drop_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed
     """``docs`` with one document of each group of near copies, that of the smallest doc_id: groups are the
     components of pairs at least ``similarity`` alike. Of rows that repeat a doc_id all stay or go; rows
     without an id stay; texts without words are copies of one another."""
-    marked = materialize(double_fingerprints(docs.where("doc_id is not null"), shingle, seed), "double-fingerprints")
-    # fingerprints may differ within a set of shingles, which repeats do not change: any one of them stands for it
-    nodes = materialize(marked.groupBy("key").agg(F.min(F.struct("doc_id", "n", "fp", "fp2")).alias("least")).select("key", F.col("least.doc_id").alias("id"), "least.n", "least.fp", "least.fp2"), "nodes")
-    close = wide_links(nodes.withColumn("root", F.col("id")), FIRST_RADIUS, BOTH_RADIUS, similarity, False, tile_rows)
+    marked = materialize(double_fingerprints(docs.where("doc_id is not null"), shingle, seed, similarity), "double-fingerprints")
+    nodes = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "few", "fp", "fp2"))), "nodes")
+    few = few_links(nodes.where("n > 0 and few is not null"), similarity)
+    close = wide_links(nodes.where(F.col("n") > FEW).withColumn("root", F.col("id")), FIRST_RADIUS, BOTH_RADIUS, similarity, False, tile_rows)
     close = materialize(close.distinct(), "close")
-    edges = materialize(similar_edges(close, docs, similarity, shingle, seed), "similar")
+    edges = materialize(similar_edges(close, docs, similarity, shingle, seed).union(few), "similar")
 
     def grouped(edges: DataFrame) -> DataFrame:
         joined = components(edges)
@@ -363,7 +419,7 @@ def drop_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed
 
     # no close pair stays unverified: each lies within a group of verified links or is verified now
     named = materialize(grouped(edges), "named")
-    apart = materialize(wide_links(named, FIRST_RADIUS, BOTH_RADIUS, similarity, True, tile_rows).distinct().join(close, ["a", "b"], "left_anti"), "apart")
+    apart = materialize(wide_links(named.where(F.col("n") > FEW), FIRST_RADIUS, BOTH_RADIUS, similarity, True, tile_rows).distinct().join(close, ["a", "b"], "left_anti"), "apart")
     more = materialize(similar_edges(apart, docs, similarity, shingle, seed), "similar")
     if not more.isEmpty():
         named = grouped(edges.union(more))

@@ -111,6 +111,26 @@ def test_drop_copies_within_a_template(spark):
     assert {r.doc_id for r in simhash.drop_copies(docs).collect()} == set(label.values())
 
 
+def test_drop_copies_by_sets_whatever_repeats(spark):
+    rng = np.random.default_rng(15)
+    rows = []
+    for g in range(10):
+        text = " ".join(f"g{g}w{k}" for k in range(200))
+        line = " ".join(f"g{g}l{k}" for k in range(20)) + " "
+        rows += [(10 * g, f"{text} {line}"), (10 * g + 1, f"{text} {line * 10}"), (10 * g + 2, f"{text} {line * 20}")]
+    for g in range(300):
+        n = int(rng.integers(8, 25))
+        words = [f"s{g}w{k}" for k in range(n + 3)]
+        rows += [(1000 + 10 * g, " ".join(words[:n])), (1001 + 10 * g, " ".join(words[: n + 1])), (1002 + 10 * g, " ".join(words))]
+    rows += [(9000 + k, f"c{k} " + " ".join(f"hot{i}" for i in range(23))) for k in range(40)]
+    label = groups(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_copies(docs).collect()} == {i for i, c in label.items() if i == c}
+    nodes = spark.createDataFrame([(k, 6, [k, 100, 101, 102, 103, 104, 105, 106, 107]) for k in range(50)], "id long, n long, few array<long>").selectExpr("id", "9L AS n", "few")
+    edges = [tuple(sorted(r)) for r in simhash.few_links(nodes, 0.8, tile_rows=8).collect()]
+    assert {x for e in edges for x in e} == set(range(50))
+
+
 def test_lightest_forest_matches_a_sorted_scan():
     rng = np.random.default_rng(13)
     for _ in range(30):
