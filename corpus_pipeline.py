@@ -36,7 +36,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document left, with its slot in the mix of the sources."""
-    return mixing.mix(docs, block_docs=16, period=1024)
+    return mixing.mix(docs, block_docs=16, period=1024, exact=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,7 +5,13 @@ shares of a period of Q slots (largest remainder). Block i of a source with shar
 floor(iQ/a) and due at ceil((i+1)Q/a); every slot goes to the released block with the earliest deadline,
 so at every slot each source is less than one block from its share. All windows repeat each period, so
 one period (Q rows, set by parameters and not by the corpus) is scheduled and every block finds its slot
-by arithmetic and a join with that table: no pass over the corpus is sequential.
+by arithmetic and a join with that table: no pass over the corpus is sequential. Against the target weights
+themselves the rounding drifts with the length of the mix.
+
+With ``exact`` the windows are those of the weights as fractions, floor(iW/w) and ceil((i+1)W/w), for every
+slot before the horizon: each source is then less than one block from its target weight throughout. Those
+slots, one for each whole block of the corpus at most, are scheduled one by one on the driver and written
+segment by segment, so only a segment is held. Blocks beyond the horizon follow by the rounded period.
 
 All documents are kept. When a source runs out its later slots stay empty; ``in_mix`` marks the slots
 before the first empty one, where the deviation bound holds.
@@ -21,11 +27,15 @@ from __future__ import annotations
 
 import heapq
 import json
-from math import sqrt
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm, sqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfold.llm.common import fresh_path
+
 MAX_SOURCES = 100_000
 
 
@@ -61,15 +71,44 @@ def period_schedule(share: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
+def exact_schedule(weights: dict[str, float], blocks: dict[str, int], segment: int = 1 << 18) -> Iterator[list[tuple[str, int, int]]]:
+    """Segments of (source, block, slot) by earliest deadline first in windows of the exact weights, up to the
+    first slot that falls to a source whose ``blocks`` are used up."""
+    exact = {s: Fraction(weights[s]) for s in sorted(weights)}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    part = {s: int(x * scale) for s, x in exact.items()}
+    total = sum(part.values())
+    # a source has one block under way: in ``coming`` until its release, then in ``ready``
+    coming = [(0, -(-total // a), s, 0) for s, a in part.items()]
+    ready: list[tuple[int, str, int]] = []
+    out: list[tuple[str, int, int]] = []
+    slot = 0
+    while True:
+        while coming and coming[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(coming)[1:])
+        due, s, i = heapq.heappop(ready)
+        if due <= slot:
+            raise AssertionError(f"block {i} of {s!r} misses slot {due}")
+        if i >= blocks[s]:
+            break
+        out.append((s, i, slot))
+        heapq.heappush(coming, ((i + 1) * total // part[s], -(-(i + 2) * total // part[s]), s, i + 1))
+        slot += 1
+        if len(out) == segment:
+            yield out
+            out = []
+    yield out
+
+
 def square_root_weights(counts: dict[str, int]) -> dict[str, float]:
     """Targets that flatten the corpus: each source by the square root of its documents."""
     return {s: sqrt(n) for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, block_docs: int = 16, weights: dict[str, float] | None = None, period: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, block_docs: int = 16, weights: dict[str, float] | None = None, period: int = 1024, exact: bool = False) -> DataFrame:
     """``docs`` (doc_id, source, ...) with mix_block (of its source), mix_slot, mix_place (in the block)
     and in_mix. ``weights``: target weight by source, by default the square root of its documents;
-    sources without a weight are an error, as they would be lost."""
+    sources without a weight are an error, as they would be lost. ``exact``: hold the bound against the weights."""
     spark = docs.sparkSession
     named = docs.withColumn("__source", F.coalesce("source", F.lit("")))
     found = named.groupBy("__source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -85,14 +124,25 @@ def mix(docs: DataFrame, block_docs: int = 16, weights: dict[str, float] | None
     share = quotas(weights, period) if weights else {}
     planned = period_schedule(share)
     slots = {(s, i): slot for s, i, slot in planned}
+    head = None
+    done = dict.fromkeys(counts, 0)
+    if exact and counts:
+        path, horizon = fresh_path(spark, "mix"), 0
+        for rows in exact_schedule(weights, {s: n // block_docs for s, n in counts.items()}):
+            for s, i, _ in rows:
+                done[s] = i + 1
+            horizon += len(rows)
+            spark.createDataFrame(rows, "__source string, __block long, __head long").write.mode("append").parquet(path)
+        head = spark.read.schema("__source string, __block long, __head long").parquet(path)
     # the first slot whose block is missing or short
-    horizon = min((n // block_docs // share[s] * period + slots[s, n // block_docs % share[s]] for s, n in counts.items()), default=0)
+    if head is None:
+        horizon = min((n // block_docs // share[s] * period + slots[s, n // block_docs % share[s]] for s, n in counts.items()), default=0)
 
-    text = json.dumps([{"s": s, "i": i, "a": share[s], "slot": slot} for s, i, slot in planned])
+    text = json.dumps([{"s": s, "i": i, "a": share[s], "slot": slot, "done": done[s]} for s, i, slot in planned])
     table = spark.range(1, numPartitions=1).select(
-        F.inline(F.from_json(F.lit(text), "array<struct<s:string,i:long,a:long,slot:long>>")).alias("__source", "__i", "__share", "__slot")
+        F.inline(F.from_json(F.lit(text), "array<struct<s:string,i:long,a:long,slot:long,done:long>>")).alias("__source", "__i", "__share", "__slot", "__done")
     )
-    shares = table.where("__i = 0").select("__source", "__share")
+    shares = table.where("__i = 0").select("__source", "__share", "__done")
     # about 4000 rows a bucket; the numbering does not depend on the number of buckets
     digits, n = 1, sum(counts.values())
     while 16**digits * 4000 < n and digits < 8:
@@ -105,9 +155,17 @@ def mix(docs: DataFrame, block_docs: int = 16, weights: dict[str, float] | None
     within = Window.partitionBy("__source", "__bucket").orderBy("__key", "doc_id")
     ranked = keyed.withColumn("__row", F.row_number().over(within)).join(starts, ["__source", "__bucket"])
     ranked = ranked.withColumn("__rank", F.col("__start") + F.col("__row") - 1).withColumn("__block", F.expr(f"__rank div {block_docs}"))
-    ranked = ranked.join(F.broadcast(shares), "__source").withColumn("__i", F.col("__block") % F.col("__share"))
+    ranked = ranked.join(F.broadcast(shares), "__source")
+    # the block's place in the period's arithmetic: blocks before the horizon do not count
+    later = F.col("__block")
+    if head is not None:
+        ranked = ranked.join(head, ["__source", "__block"], "left")
+        later = F.greatest(F.col("__block") - F.col("__done"), F.lit(0))
+    ranked = ranked.withColumn("__later", later).withColumn("__i", F.col("__later") % F.col("__share"))
     placed = ranked.join(F.broadcast(table.select("__source", "__i", "__slot")), ["__source", "__i"])
-    slot = F.expr(f"__block div __share * {period}") + F.col("__slot")
+    slot = F.expr(f"__later div __share * {period}") + F.col("__slot")
+    if head is not None:
+        slot = F.coalesce("__head", slot + horizon)
     own = ("mix_block", "mix_slot", "mix_place", "in_mix")
     return placed.select(
         *[F.col(c) for c in docs.columns if c not in own], F.col("__block").alias("mix_block"), slot.alias("mix_slot"), (F.col("__rank") % block_docs).alias("mix_place"), (slot < horizon).alias("in_mix")

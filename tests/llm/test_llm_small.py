@@ -339,6 +339,29 @@ def test_mix_keeps_all_rows_and_the_bound(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_exact_mix_stays_within_a_block_of_the_targets(spark):
+    rng = np.random.default_rng(16)
+    for weights in ({f"s{k}": 1.0 for k in range(20)}, {f"s{k}": float(w) for k, w in enumerate(rng.random(30) ** 3 + 1e-4)}):
+        whole, done, t = sum(weights.values()), Counter(), 0
+        for rows in mixing.exact_schedule(weights, {s: 4000 if len(weights) == 20 else int(40_000 * w / whole) + 1 for s, w in weights.items()}, 1000):
+            for s, i, slot in rows:
+                assert slot == t and i == done[s]
+                done[s] += 1
+                t += 1
+                assert all(abs(done[x] - t * w / whole) < 1 + 1e-6 for x, w in weights.items())
+        assert t > 20_000
+    docs = docs_of(spark, [(i, "t", f"s{i % 20}" if i % 3 else "big") for i in range(6000)])
+    got = mixing.mix(docs, block_docs=1, weights={"big": 2.0} | {f"s{k}": 1.0 for k in range(20)}, period=64, exact=True).collect()
+    assert len(got) == 6000 and max(Counter((r.mix_slot, r.mix_place) for r in got).values()) == 1
+    inside = sorted((r.mix_slot, r.source) for r in got if r.in_mix)
+    assert [t for t, _ in inside] == list(range(len(inside))) and len(inside) > 2000
+    done = Counter()
+    for t, s in inside:
+        done[s] += 1
+        assert all(abs(done[x] - (t + 1) * (2 if x == "big" else 1) / 22) < 1 for x in {r.source for r in got})
+    assert mixing.mix(docs.where("false"), exact=True).count() == 0
+
+
 # WARC
 
 
