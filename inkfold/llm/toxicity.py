@@ -58,9 +58,14 @@ def stems(text: str | None) -> list[str]:
 
 def active(text: str | None, place: dict[str, int]) -> list[int]:
     """Features that a text has, len(_LEVELS) for each stem of ``place``, ascending."""
+    return features(words(text), place)
+
+
+def features(counted: Counter[str], place: dict[str, int]) -> list[int]:
+    """Features of a text by its words."""
     count: dict[int, int] = {}
     total = 0
-    for w, n in words(text).items():
+    for w, n in counted.items():
         total += n
         if (i := place.get(f"{w}$")) is not None:
             count[i] = count.get(i, 0) + n
@@ -79,6 +84,35 @@ def identity_mentions(text: str | None) -> list[str]:
     return [t for s in _SENTENCE.split(text) for t in sorted(_KIND.keys() & words(s).keys())]
 
 
+#: Stands for the neutral word: it counts as a word and has no stems.
+_NEUTRAL = ""
+
+
+def swaps(text: str | None, place: dict[str, int]) -> Iterator[tuple[float, tuple[int, ...], tuple[int, ...]]]:
+    """(weight, features gained, features lost) of each counterfactual sentence, alone and within its text;
+    the weights of the swaps of one mention add up to 1 for either."""
+    whole = words(text)
+    if not text or _KIND.keys().isdisjoint(whole):
+        return
+    inside = set(features(whole, place))
+    for sentence in _SENTENCE.split(text):
+        own = words(sentence)
+        found = _KIND.keys() & own.keys()
+        alone = set(features(own, place)) if found else set()
+        for t in sorted(found):
+            others = [u for u in (*IDENTITY_TERMS[_KIND[t]], _NEUTRAL) if u != t]
+            for u in others:
+                for base, before in ((own, alone), (whole, inside)):
+                    changed = base.copy()
+                    changed[t] -= own[t]
+                    if not changed[t]:
+                        del changed[t]
+                    changed[u] += own[t]
+                    after = set(features(changed, place))
+                    if after != before:
+                        yield 1 / len(others), tuple(sorted(after - before)), tuple(sorted(before - after))
+
+
 @dataclass
 class StemModel:
     """Stems and the weights of their features; bounded by ``max_stems``."""
@@ -95,9 +129,11 @@ class StemModel:
 def train(
     vocabulary: list[str], rows: list[list[int]], y: np.ndarray, mentions: dict[str, int],
     sparse: float = 0.0003, ridge: float = 1e-4, counterfactual: float = 1.0, steps: int = 400,
+    swapped: dict[tuple[tuple[int, ...], tuple[int, ...]], float] | None = None,
 ) -> StemModel:
     """Minimise mean log loss + sparse*|w| + ridge*|w|^2/2 + counterfactual * mean squared score change
-    over the counterfactual sentences, by accelerated proximal gradient steps. rows: active features."""
+    over the counterfactual sentences, by accelerated proximal gradient steps. rows: active features.
+    swapped: weight by features gained and lost in a swap; mentions tie the terms' whole words alone."""
     n, k = len(rows), len(vocabulary) * len(_LEVELS)
     if n == 0 or y.min() == y.max():
         return StemModel(0.0, {}, np.zeros(0))
@@ -117,6 +153,15 @@ def train(
                 penalty[u, u] += share
                 penalty[t, u] -= share
                 penalty[u, t] -= share
+    pairs = sorted((swapped or {}).items())
+    for at in range(0, len(pairs), 4096):
+        part = pairs[at : at + 4096]
+        change = np.zeros((len(part), k), np.float32)
+        for i, ((gained, lost), _) in enumerate(part):
+            change[i, list(gained)] = 1
+            change[i, list(lost)] = -1
+        weight = np.array([c for _, c in part], np.float32) * np.float32(counterfactual / n)
+        penalty += change.T @ (change * weight[:, None])
     probe, size = np.ones(k, np.float32), 0.0
     for _ in range(20):
         probe = x.T @ (x @ probe) / n
@@ -178,16 +223,35 @@ def fit(
     ranked = counted.where("not term").orderBy(odd.desc(), "stem").limit(max_stems).collect()
     vocabulary = sorted({r.stem for r in ranked} | {f"{t}$" for t in _KIND})
     place = {w: i for i, w in enumerate(vocabulary)}
-    mentions = {r.stem: r.n for r in counted.where("term").collect()}
 
     def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([active(x, place) for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.record_batch([batch.column(0), found], ["y", "at"])
 
+    def swap_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64())
+        total: dict[tuple[tuple[int, ...], tuple[int, ...]], float] = {}
+
+        def flush() -> pa.RecordBatch:
+            columns = [[g for g, _ in total], [x for _, x in total], list(total.values())]
+            total.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["gained", "lost", "share"])
+
+        for batch in batches:
+            for text in batch.column(1):
+                for c, gained, lost in swaps(text.as_py(), place):
+                    total[gained, lost] = total.get((gained, lost), 0.0) + c
+                if len(total) > 50_000:
+                    yield flush()
+        yield flush()
+
+    changes = sample.mapInArrow(swap_all, "gained array<int>, lost array<int>, share double")
+    changes = changes.groupBy("gained", "lost").agg(F.round(F.sum("share"), 6).alias("share"))
+    swapped = {(tuple(r.gained), tuple(r.lost)): r.share for r in changes.collect()}
     got = sample.mapInArrow(place_all, "y int, at array<int>").toArrow()
     rows = sorted(zip(got["y"].to_pylist(), got["at"].to_pylist()))
-    return train(vocabulary, [r for _, r in rows], np.array([y for y, _ in rows], np.float64), mentions)
+    return train(vocabulary, [r for _, r in rows], np.array([y for y, _ in rows], np.float64), {}, swapped=swapped)
 
 
 def score(docs: DataFrame, model: StemModel) -> DataFrame:

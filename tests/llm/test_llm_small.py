@@ -173,6 +173,27 @@ def test_toxicity_learns_and_identity_terms_stay_neutral(spark):
     assert tied.score(text) < free.score(text)
 
 
+def test_swapped_sentences_change_the_beginnings_too():
+    vocabulary = sorted({"mus", "musl", "vile$"} | {f"{t}$" for t in toxicity._KIND})
+    place = {w: i for i, w in enumerate(vocabulary)}
+    texts = ["A muslim walked. Vile.", "A muslim sat."] * 20 + ["Vile talk.", "A calm day.", "More calm.", "All calm."] * 20
+    rows = [toxicity.active(x, place) for x in texts]
+    y = np.array([1, 1] * 20 + [1, 0, 0, 0] * 20, float)
+    swapped = Counter()
+    for x in texts:
+        for c, gained, lost in toxicity.swaps(x, place):
+            swapped[gained, lost] += c
+    assert any(len(_levels_of(lost, place["mus"])) and len(_levels_of(lost, place["muslim$"])) for _, lost in swapped)
+    whole = toxicity.train(vocabulary, rows, y, {"muslim": 40}, counterfactual=20.0)
+    real = toxicity.train(vocabulary, rows, y, {}, counterfactual=20.0, swapped=dict(swapped))
+    change = [abs(m.score("A muslim ran.") - m.score("A christian ran.")) for m in (whole, real)]
+    assert change[1] < 0.1 < change[0]
+
+
+def _levels_of(lost, stem):
+    return [x for x in lost if x // len(toxicity._LEVELS) == stem]
+
+
 def _tiny_rows():
     rows = [[0, 4], [0, 4], [0], [4], [], [], [], []] * 10
     return rows, np.array([1, 1, 1, 1, 0, 0, 0, 0] * 10, float)
