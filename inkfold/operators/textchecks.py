@@ -1,75 +1,117 @@
-"""Text evidence against marks: overlap joins keyed by document and page, with the rectangle test as residual."""
+"""Text evidence against marks, page by page.
+
+A document is one row: its pages, each with its text items and the marks that lie on it. Overlaps are decided by
+array expressions inside the row, so no item is ever shuffled; marks of a table of their own join once, as one array
+per document (``attach``), before anything is decided.
+
+pages: array of page_index, items (ord, str, x0, y0, x1, y1) and marks (mark_no, page_index, x0, y0, x1, y1).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.functions.geometry import columns
+from inkfold.functions.geometry import Box
 from inkfold.functions.predicates import touches
 from inkfold.functions.text import collapsed, visible
+from inkfold.sources.tables import settled
 
-PAGE = ["doc_id", "page_index"]
+_BOX = ("x0", "y0", "x1", "y1")
+MARK = "mark_no long, page_index long, x0 double, y0 double, x1 double, y1 double"
 
 
-def _pairs(items: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """Items that touch marks. The planner's size of exploded items is that of their documents, so for an
-    inner join, which could build from either side, a merge is asked for."""
-    if how == "inner":
-        items = items.hint("merge")
-    m = marks.select(*[F.col(c).alias(f"m_{c}") for c in marks.columns])
-    same = (items.doc_id == m.m_doc_id) & (items.page_index == m.m_page_index)
-    return items.join(m, same & touches(columns(), columns("m_")), how)
+def attach(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, pages of page_index and items) with each page's marks; a mark on a page that the document
+    lacks stays, on a page without items. marks: doc_id, mark_no, page_index, x0, y0, x1, y1."""
+    per_doc = marks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("mark_no", "page_index", *_BOX))).alias("marks"))
+    joined = docs.join(per_doc, "doc_id", "full").withColumn("marks", F.coalesce("marks", F.array().cast(f"array<struct<{MARK.replace(' ', ':').replace(',:', ',')}>>")))
+    here = F.coalesce("pages", F.array().cast(docs.schema["pages"].dataType))
+    own = F.transform(here, lambda p: F.struct(p["page_index"], p["items"], F.filter("marks", lambda m: m["page_index"] == p["page_index"]).alias("marks")))
+    known = F.transform(here, lambda p: p["page_index"])
+    lost = F.array_sort(F.array_except(F.transform("marks", lambda m: m["page_index"]), known))
+    items = docs.schema["pages"].dataType.elementType["items"].dataType
+    empty = F.transform(lost, lambda k: F.struct(k.alias("page_index"), F.array().cast(items).alias("items"), F.filter("marks", lambda m: m["page_index"] == k).alias("marks")))
+    return joined.select("doc_id", F.concat(own, empty).alias("pages"))
 
 
-def marked(items: DataFrame, marks: DataFrame) -> DataFrame:
-    """Items that touch a mark, once each."""
-    return _pairs(items, marks, "left_semi")
+def _box(x: Column) -> Box:
+    return tuple(x[c] for c in _BOX)  # type: ignore[return-value]
 
 
-def unmarked(items: DataFrame, marks: DataFrame) -> DataFrame:
-    return _pairs(items, marks, "left_anti")
+def _touched(item: Column, marks: Column) -> Column:
+    return F.exists(marks, lambda m: touches(_box(item), _box(m)))
 
 
-def candidate_items(items: DataFrame, marks: DataFrame) -> DataFrame:
-    """What stays after redaction; documents with id mod 10 = 4 are painted over only and keep all text."""
-    overlaid = F.col("doc_id") % 10 == 4
-    return unmarked(items.where(~overlaid), marks).unionByName(items.where(overlaid))
+def _words(items: Column) -> Column:
+    return F.transform(items, lambda i: i["str"])
 
 
-def text_checks(marks: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Every mark with outcome and reason: fail if visible text of the candidate touches it. The join
-    starts from the marks, so none is lost."""
-    m = marks.select("doc_id", "mark_no", "page_index", *[F.col(c).alias(f"m_{c}") for c in ("x0", "y0", "x1", "y1")])
-    c = candidate.where(visible(F.col("str"))).select(F.col("doc_id").alias("c_doc"), F.col("page_index").alias("c_page"), "x0", "y0", "x1", "y1")
-    same = (m.doc_id == c.c_doc) & (m.page_index == c.c_page) & touches(columns(), columns("m_"))
-    # as above: the items' side must not be taken for a small one
-    hits = m.join(c.hint("merge"), same, "left_semi").select("doc_id", "mark_no", F.lit(True).alias("hit"))
-    out = marks.join(hits, ["doc_id", "mark_no"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return out.select(
-        "doc_id", "mark_no", "page_index", F.when(F.col("hit"), "fail").otherwise("pass").alias("outcome"),
-        F.when(F.col("hit"), "verify.text.remaining-text").otherwise("verify.text.clear").alias("reason_code"),
-    )
+def joined_text(items: Column) -> Column:
+    """The visible text of items, in order; empty where there is none."""
+    return collapsed(F.array_join(_words(F.filter(items, lambda i: visible(i["str"]))), " "))
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """doc_id, page_index, ord, str, x0, y0, x1, y1 of the items that touch a mark."""
+    pages = docs.select("doc_id", F.explode_outer("pages").alias("p"))
+    gone = F.filter("p.items", lambda i: _touched(i, F.col("p.marks")))
+    return pages.select("doc_id", "p.page_index", F.explode_outer(gone).alias("i")).where("i is not null").select("doc_id", "page_index", "i.*")
+
+
+def kept_text(docs: DataFrame) -> DataFrame:
+    """doc_id, items_before, items_removed and the text that stays of each document with items."""
+
+    def kept(p: Column) -> Column:
+        return F.when(F.size(p["marks"]) == 0, _words(p["items"])).otherwise(_words(F.filter(p["items"], lambda i: ~_touched(i, p["marks"]))))
+
+    before = F.aggregate("pages", F.lit(0).cast("long"), lambda n, p: n + F.size(p["items"]))
+    out = settled(docs.select("doc_id", before.alias("items_before"), F.flatten(F.transform("pages", kept)).alias("words")), "text", F.array_join("words", " "))
+    return out.where("items_before > 0").select("doc_id", "items_before", (F.col("items_before") - F.size("words")).cast("long").alias("items_removed"), "text")
 
 
-def joined_text() -> Column:
-    return collapsed(F.expr("listagg(str, ' ') WITHIN GROUP (ORDER BY ord)"))
+def checked(docs: DataFrame, overlaid: Column) -> DataFrame:
+    """doc_id, pages of page_index, text (what the candidate shows outside the marks), and selections: mark_no, value
+    (visible source text under the mark) and remaining (visible candidate text touches it). The candidate keeps no
+    item that touches a mark, unless ``overlaid``: painted over only, it keeps all."""
 
+    def selection(p: Column, m: Column) -> Column:
+        under = F.filter(p["items"], lambda i: touches(_box(i), _box(m)) & visible(i["str"]))
+        return F.struct(m["mark_no"].alias("mark_no"), collapsed(F.array_join(_words(under), " ")).alias("value"), (overlaid & (F.size(under) > 0)).alias("remaining"))
 
-def selected_values(items: DataFrame, marks: DataFrame) -> DataFrame:
-    """doc_id, mark_no, value: the visible text under each mark, in order; empty where there is none."""
-    pairs = _pairs(items.where(visible(F.col("str"))), marks, "inner")
-    found = pairs.groupBy("doc_id", F.col("m_mark_no").alias("mark_no")).agg(joined_text().alias("value"))
-    return marks.select("doc_id", "mark_no").join(found, ["doc_id", "mark_no"], "left").select("doc_id", "mark_no", F.coalesce("value", F.lit("")).alias("value"))
+    def page(p: Column) -> Column:
+        clear = F.when(F.size(p["marks"]) == 0, p["items"]).otherwise(F.filter(p["items"], lambda i: ~_touched(i, p["marks"])))
+        return F.struct(p["page_index"].alias("page_index"), joined_text(clear).alias("text"), F.transform(p["marks"], lambda m: selection(p, m)).alias("selections"))
 
+    return docs.select("doc_id", F.transform("pages", page).alias("pages"))
 
-def page_text(items: DataFrame) -> DataFrame:
-    return items.where(visible(F.col("str"))).groupBy(*PAGE).agg(joined_text().alias("value"))
 
+def selections(found: DataFrame) -> DataFrame:
+    """doc_id, page_index, mark_no, value, remaining of every mark."""
+    pages = found.select("doc_id", F.explode_outer("pages").alias("p")).select("doc_id", "p.page_index", F.explode_outer("p.selections").alias("s"))
+    return pages.where("s is not null").select("doc_id", "page_index", "s.*")
 
-def duplicate_warnings(items: DataFrame, candidate: DataFrame, marks: DataFrame) -> DataFrame:
+
+def text_checks(found: DataFrame) -> DataFrame:
+    """Every mark with outcome and reason: fail if visible text of the candidate touches it."""
+    return selections(found).select(
+        "doc_id", "mark_no", "page_index", F.when(F.col("remaining"), "fail").otherwise("pass").alias("outcome"),
+        F.when(F.col("remaining"), "verify.text.remaining-text").otherwise("verify.text.clear").alias("reason_code"),
+    )
+
+
+def page_text(found: DataFrame) -> DataFrame:
+    """doc_id, page_index, text of the candidate's pages that show any."""
+    return found.select("doc_id", F.explode_outer("pages").alias("p")).where("p.text <> ''").select("doc_id", "p.page_index", "p.text")
+
+
+def duplicate_warnings(found: DataFrame) -> DataFrame:
     """doc_id, mark_no, page_index of the first candidate page whose unmarked text holds a mark's value."""
-    values = selected_values(items, marks).where("value <> ''")
-    pages = page_text(unmarked(candidate, marks)).withColumnRenamed("value", "page_text")
-    found = values.join(pages, "doc_id").where(F.contains("page_text", "value"))
-    return found.groupBy("doc_id", "mark_no").agg(F.min("page_index").alias("page_index"))
+    values = F.filter(F.flatten(F.transform("pages", lambda p: p["selections"])), lambda s: s["value"] != "")
+
+    def first(s: Column) -> Column:
+        holding = F.filter("pages", lambda p: F.contains(p["text"], s["value"]))
+        return F.struct(s["mark_no"], F.array_min(F.transform(holding, lambda p: p["page_index"])).alias("page_index"))
+
+    out = found.select("doc_id", "pages", values.alias("wanted")).select("doc_id", F.explode_outer(F.transform("wanted", first)).alias("s"))
+    return out.where("s.page_index is not null").select("doc_id", "s.mark_no", "s.page_index")

@@ -11,11 +11,12 @@ from inkfold.operators import textchecks as tc
 from inkfold.plans.registry import query
 from inkfold.plans.sql import with_
 from inkfold.sources import evidence as ev
-from inkfold.sources.tables import table
+from inkfold.sources.tables import settled, table
 
 
-def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return ev.boxed_items(ev.text_items(spark, d)), ev.marks(spark, d)
+def checked(spark: SparkSession, d: str) -> DataFrame:
+    """The text evidence of every document; those with id mod 10 = 4 are painted over only and keep all text."""
+    return tc.checked(ev.marked_pages(spark, d), F.col("doc_id") % 10 == 4)
 
 
 @query("text_item_boxes", with_("SELECT doc_id, ord, page_index, x0, y0, x1, y1 FROM boxed", "boxed"))
@@ -58,8 +59,7 @@ _CHECKS = """SELECT m.doc_id, m.mark_no, m.page_index, CASE WHEN h.mark_no IS NU
 
 @query("verify_text_checks", with_(_CHECKS, "marks", "cand"))
 def verify_text_checks(spark, d):
-    items, marks = _evidence(spark, d)
-    return tc.text_checks(marks, tc.candidate_items(items, marks))
+    return tc.text_checks(checked(spark, d))
 
 
 _SELECTED = """SELECT m.doc_id, m.mark_no, coalesce(string_agg(b.str, ' ' ORDER BY b.ord), '') AS value FROM marks m LEFT JOIN boxed b ON b.doc_id = m.doc_id
@@ -70,14 +70,13 @@ _PAGE_TEXT = """SELECT c.doc_id, c.page_index, string_agg(c.str, ' ' ORDER BY c.
 
 @query("selected_values", with_(_SELECTED, "marks", "boxed"))
 def selected_values(spark, d):
-    return tc.selected_values(*_evidence(spark, d))
+    return tc.selections(checked(spark, d)).select("doc_id", "mark_no", "value")
 
 
 @query("unmarked_page_text", with_(f"SELECT doc_id, page_index, md5(value) AS text_md5, CAST(length(value) AS BIGINT) AS text_length FROM ({_PAGE_TEXT})", "cand"))
 def unmarked_page_text(spark, d):
-    items, marks = _evidence(spark, d)
-    out = tc.page_text(tc.unmarked(tc.candidate_items(items, marks), marks))
-    return out.select("doc_id", "page_index", F.md5(F.col("value").cast("binary")).alias("text_md5"), F.length("value").cast("long").alias("text_length"))
+    out = tc.page_text(checked(spark, d))
+    return out.select("doc_id", "page_index", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("text_length"))
 
 
 @query(
@@ -89,9 +88,7 @@ def unmarked_page_text(spark, d):
     ),
 )
 def duplicate_warnings(spark, d):
-    items, marks = _evidence(spark, d)
-    out = tc.duplicate_warnings(items, tc.candidate_items(items, marks), marks)
-    return out.withColumn("code", F.lit("duplicate-occurrence")).orderBy("doc_id", "mark_no")
+    return tc.duplicate_warnings(checked(spark, d)).withColumn("code", F.lit("duplicate-occurrence")).orderBy("doc_id", "mark_no")
 
 
 @query(
@@ -104,14 +101,7 @@ def duplicate_warnings(spark, d):
     ),
 )
 def apply_text_redaction(spark, d):
-    items, marks = _evidence(spark, d)
-    gone = tc.marked(items, marks).select("doc_id", "ord", F.lit(True).alias("gone"))
-    flagged = items.join(gone, ["doc_id", "ord"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    kept = F.expr("listagg(CASE WHEN NOT gone THEN str END, ' ') WITHIN GROUP (ORDER BY ord)")
-    return flagged.groupBy("doc_id").agg(
-        F.count("*").alias("items_before"), F.sum(F.col("gone").cast("long")).alias("items_removed"),
-        F.md5(F.coalesce(kept, F.lit("")).cast("binary")).alias("kept_md5"),
-    )
+    return tc.kept_text(ev.marked_pages(spark, d)).select("doc_id", "items_before", "items_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
 @query(
@@ -137,13 +127,13 @@ def page_text_presence(spark, d):
     ),
 )
 def removed_glyph_zones(spark, d):
-    items, marks = _evidence(spark, d)
-    masks = marks.select("doc_id", "page_index", F.lit("mask").alias("kind"), F.col("mark_no").alias("ord"), "x0", "y0", "x1", "y1")
-    glyphs = tc.marked(items, marks).select("doc_id", "page_index", F.lit("glyph").alias("kind"), "ord", "x0", "y0", "x1", "y1")
+    kind = lambda name, ord_: (F.lit(name).alias("kind"), F.col(ord_).alias("ord"))
+    masks = ev.marks(spark, d).select("doc_id", "page_index", *kind("mask", "mark_no"), "x0", "y0", "x1", "y1")
+    glyphs = tc.removed(ev.marked_pages(spark, d)).select("doc_id", "page_index", *kind("glyph", "ord"), "x0", "y0", "x1", "y1")
     page = tuple(F.lit(float(v)) for v in (0, 0, 612, 792))
     width, height = F.lit(1224), F.lit(1584)
-    both = masks.unionByName(glyphs).withColumn("v", g.to_viewport(g.columns(), page, F.lit(0), F.lit(1.0), 2.0))
-    both = both.withColumn("box", g.device_box(F.col("v.x"), F.col("v.y"), F.col("v.w"), F.col("v.h"), width, height)).where("box is not null")
+    both = settled(masks.unionByName(glyphs), "v", g.to_viewport(g.columns(), page, F.lit(0), F.lit(1.0), 2.0))
+    both = settled(both, "box", g.device_box(F.col("v.x"), F.col("v.y"), F.col("v.w"), F.col("v.h"), width, height)).where("box is not null")
     edge = g.columns("box.")
     grown = F.when(F.col("kind") == "mask", g.expand(edge, 2, width, height)).otherwise(g.expand(edge, 3, width, height))
-    return both.withColumn("z", grown).select("doc_id", "page_index", "kind", "ord", *[F.col(f"z.{c}").cast("long").alias(f"z{c}") for c in ("x0", "y0", "x1", "y1")])
+    return settled(both, "z", grown).select("doc_id", "page_index", "kind", "ord", *[F.col(f"z.{c}").cast("long").alias(f"z{c}") for c in ("x0", "y0", "x1", "y1")])

@@ -11,13 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions import geometry as g
-from inkfold.sources.tables import table
+from inkfold.sources.tables import settled, spread, table
 
 PER_PAGE = 400
 
 
 def _words() -> Column:
-    return F.filter(F.split("text", r"[ \t\r\n]+"), lambda z: z != "")
+    return F.regexp_extract_all("text", F.lit(r"([^ \t\r\n]+)"))
+
+
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+
+
+def _counted(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """doc_id and n, the number of words, without listing them."""
+    docs = _documents(spark, sf_dir, *columns)
+    return settled(docs, "n", F.regexp_count("text", F.lit(r"[^ \t\r\n]+")).cast("long")).drop("text")
 
 
 def _div(a: str, b: int) -> Column:
@@ -26,7 +36,7 @@ def _div(a: str, b: int) -> Column:
 
 def text_items(spark: SparkSession, sf_dir: str, layout: str = "plain") -> DataFrame:
     """doc_id, ord, n, str, page_index, transform (six doubles), width. layout: plain, rotated, mirrored."""
-    words = table(spark, sf_dir, "documents").select("doc_id", _words().alias("ws"))
+    words = settled(_documents(spark, sf_dir), "ws", _words())
     items = words.select("doc_id", F.size("ws").cast("long").alias("n"), F.posexplode("ws").alias("wi", "str"))
     items = items.withColumn("ord", F.col("wi").cast("long"))
     x = (36 + 54 * (F.col("ord") % 10)).cast("double")
@@ -44,19 +54,43 @@ def boxed_items(items: DataFrame) -> DataFrame:
     return g.with_text_box(items).select("doc_id", "ord", "n", "str", "page_index", "x0", "y0", "x1", "y1")
 
 
+def _mark_columns(doc_id: Column, n: Column, mark_no: Column) -> dict[str, Column]:
+    wi = (7 * doc_id + 131 * mark_no) % n
+    x, y = (36 + 54 * (wi % 10)).cast("double"), (740 - 18 * (F.floor(wi / 10) % 40)).cast("double")
+    return {"mark_no": mark_no, "page_index": F.floor(wi / PER_PAGE), "x0": x - 1, "y0": y - 2, "x1": x + 60, "y1": y + 9}
+
+
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, mark_no, page_index, x0, y0, x1, y1: three rectangles per document that has words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(_words()).cast("long").alias("n")).where("n > 0")
-    at = docs.select("doc_id", "n", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)])).alias("mark_no"))
-    at = at.withColumn("wi", (7 * F.col("doc_id") + 131 * F.col("mark_no")) % F.col("n"))
-    x = (36 + 54 * (F.col("wi") % 10)).cast("double")
-    y = (740 - 18 * F.expr("(wi div 10) % 40")).cast("double")
-    return at.select("doc_id", "mark_no", _div("wi", PER_PAGE).alias("page_index"), (x - 1).alias("x0"), (y - 2).alias("y0"), (x + 60).alias("x1"), (y + 9).alias("y1"))
+    at = _counted(spark, sf_dir).where("n > 0").select("doc_id", "n", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)])).alias("mark_no"))
+    return at.select("doc_id", *[v.alias(k) for k, v in _mark_columns(F.col("doc_id"), F.col("n"), F.col("mark_no")).items()])
+
+
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, pages: the text items and marks of a document's pages in one row, as tc.attach would join them. Both
+    follow from the document, so its words are never shuffled. Documents without words drop out."""
+    docs = settled(_documents(spark, sf_dir), "ws", _words()).where("size(ws) > 0")
+    n = F.size("ws").cast("long")
+    marked = F.array(*[F.struct(*[v.alias(k) for k, v in _mark_columns(F.col("doc_id"), n, F.lit(k).cast("long")).items()]) for k in (1, 2, 3)])
+    docs = settled(docs.select("doc_id", "ws", n.alias("n")), "marks", marked)
+
+    def item(page: Column, word: Column, i: Column) -> Column:
+        unit = [F.lit(float(v)) for v in (10, 0, 0, 10)]
+        x, y = 36 + 54 * (i % 10), 740 - 18 * (F.floor(i / 10) % 40)
+        _, box = g.text_box((*unit, x.cast("double"), y.cast("double")), F.least(5 * F.length(word), F.lit(50)).cast("double"))
+        return F.struct((page * PER_PAGE + i).alias("ord"), word.alias("str"), *[v.alias(c) for v, c in zip(box, ("x0", "y0", "x1", "y1"))])
+
+    def page(p: Column) -> Column:
+        items = F.transform(F.slice("ws", (p * PER_PAGE + 1).cast("int"), F.lit(PER_PAGE)), lambda word, i: item(p, word, i))
+        return F.struct(p.alias("page_index"), items.alias("items"), F.filter("marks", lambda m: m["page_index"] == p).alias("marks"))
+
+    last = F.expr(f"(n - 1) div {PER_PAGE}")
+    return docs.select("doc_id", F.transform(F.sequence(F.lit(0).cast("long"), last), page).alias("pages"))
 
 
 def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page: geometry, text and image evidence, budgets."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.size(_words()).cast("long").alias("n"))
+    docs = _counted(spark, sf_dir, "n_chars")
     docs = docs.withColumn("text_pages", F.expr("(n + 399) div 400")).withColumn("page_count", F.col("text_pages") + F.when(F.expr("doc_id % 6 = 0"), 1).otherwise(0))
     pages = docs.where("page_count > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("page_count") - 1)).alias("page_index"))
     tokens = F.greatest(F.least(F.lit(400), F.col("n") - 400 * F.col("page_index")), F.lit(0))
