@@ -1,9 +1,11 @@
 """SimHash near-duplicate detection by tiled exact comparison.
 
-Documents with equal fingerprints are one node. Nodes are cut into tiles by the population counts of
-their two 32-bit halves; a pair of tiles whose counts differ beyond the radius is skipped, every other
-pair is compared exactly with numpy exclusive-or and bit counts. Inside a task the matches are reduced
-to a spanning forest before they leave it, so a large group never emits all its pairs.
+Documents with equal fingerprints are one node. Nodes are cut into tiles by the population counts of their
+fingerprints' upper halves and sorted within a tile by those of the lower ones, each tile a file in the shared
+folder. A pair of tiles whose counts differ beyond the radius is skipped, as are the rows of a pair whose lower
+counts do; every other pair is compared exactly with numpy exclusive-or and bit counts. Only the numbers of tiles
+are dealt to tasks, which read the files, so what is shuffled does not grow with the pairs. Inside a task the
+matches are reduced to a spanning forest before they leave it, so a large group never emits all its pairs.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; rows with equal
 ids or texts are each returned; a null id is returned and never names a component (a component of null
@@ -12,19 +14,22 @@ ids alone has a null component_id); an empty table gives an empty result; other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import materialize, utf8
+from inkfold.llm.common import fresh_path, materialize, utf8
 from inkfold.llm.components import components
 
-TILE_ROWS = 4096
+TILE_ROWS = 16384
 
 
 def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
@@ -91,6 +96,25 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
         label = parent[label]
 
 
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the edges of a spanning forest of (i, j) over n nodes."""
+    _, once = np.unique(np.minimum(i, j) * n + np.maximum(i, j), return_index=True)
+    a, b = forest(np.minimum(i, j)[once], np.maximum(i, j)[once], n)
+    return once[np.searchsorted((np.minimum(i, j) * n + np.maximum(i, j))[once], a * n + b)]
+
+
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after joining the parts of the nodes i and j, each part named by its smallest label."""
+    parent = np.arange(len(label))
+    a, b = label[i], label[j]
+    while (a != b).any():
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        a, b = parent[a], parent[b]
+    return parent[label]
+
+
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs (index in a, index in b) at most ``radius`` bits apart; the nodes
     are numbered through, those of b after those of a. Works in strips, so memory holds one strip."""
@@ -106,43 +130,162 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 256) -> t
     return forest(got_i, got_j, na + len(b))
 
 
-def _half(fp: str, high: bool) -> Column:
-    return F.bit_count(F.shiftrightunsigned(fp, 32) if high else F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF)))
+def _bands(counts: dict[int, tuple[int, int]], tile_rows: int, tile_weight: int) -> list[tuple[int, int, int]]:
+    """(lowest, highest population count, parts) of the tiles' bands: neighbours join while they fit one tile, a
+    larger one is dealt to parts. counts: rows and weight by population count, so at most 33 bands."""
+    bands: list[list[int]] = []
+    for p in sorted(counts):
+        rows, weight = counts[p]
+        if bands and bands[-1][2] + rows <= tile_rows and bands[-1][3] + weight <= tile_weight:
+            bands[-1][1:] = [p, bands[-1][2] + rows, bands[-1][3] + weight]
+        else:
+            bands.append([p, p, rows, weight])
+    return [(low, high, max(-(-rows // tile_rows), -(-weight // tile_weight), 1)) for low, high, rows, weight in bands]
 
 
-def links(nodes: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints at most ``radius`` bits apart. ``nodes``: distinct fp."""
-    cells = nodes.select("fp", _half("fp", True).alias("hi"), _half("fp", False).alias("lo"))
-    # at most 33 x 33 cells, whatever the corpus
-    sizes = F.broadcast(cells.groupBy("hi", "lo").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts")))
-    tiles = materialize(
-        cells.join(sizes, ["hi", "lo"])
-        .withColumn("part", F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.col("parts")).cast("int"))
-        .groupBy("hi", "lo", "part").agg(F.collect_list("fp").alias("fps")),
-        "tiles",
-    )
-    steps = [
-        (x, y) for x in range(-radius, radius + 1) for y in range(-radius, radius + 1) if abs(x) + abs(y) <= radius and (x, y) >= (0, 0)
-    ]
-    step = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps])).alias("step")
-    left = tiles.select("hi", "lo", "part", "fps", step).select(
-        (F.col("hi") + F.col("step.x")).alias("hi"), (F.col("lo") + F.col("step.y")).alias("lo"),
-        F.when((F.col("step.x") == 0) & (F.col("step.y") == 0), F.col("part")).alias("from_part"), F.col("fps").alias("left"),
-    )
-    pairs = left.join(tiles.withColumnRenamed("fps", "right"), ["hi", "lo"])
-    pairs = pairs.where("from_part is null or part >= from_part").select("left", "right")
+@dataclass
+class Tiles:
+    """Stored tiles: the folder, a row (band, part, name) per tile, and the bands."""
+
+    root: str
+    names: DataFrame
+    bands: list[tuple[int, int, int]]
+
+
+def write_tiles(nodes: DataFrame, columns: tuple[str, ...], tile_rows: int, weight: str | None = None, tile_weight: int = 1 << 62) -> Tiles:
+    """Store the long ``columns`` of ``nodes`` by tile, and its column ``sets`` (array of long) if there is one, of
+    which the tiles hold at most about ``tile_weight`` values as counted by ``weight``. Rows that repeat the first
+    column count once."""
+    spark = nodes.sparkSession
+    listed = [*columns, "sets"] if "sets" in nodes.columns else list(columns)
+    counted = nodes.select(*listed, F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int").alias("__ones"))
+    heavy = F.coalesce(F.sum(weight), F.lit(0)) if weight else F.lit(0)
+    bands = _bands({r["__ones"]: (r.rows, r.weight) for r in counted.groupBy("__ones").agg(F.count("*").alias("rows"), heavy.alias("weight")).collect()}, tile_rows, tile_weight)
+    band, parts = F.lit(-1), F.lit(1)
+    for k, (low, high, n) in enumerate(bands):
+        inside = F.col("__ones").between(low, high)
+        band, parts = F.when(inside, k).otherwise(band), F.when(inside, n).otherwise(parts)
+    dealt = counted.select(*listed, band.alias("band"), F.pmod(F.xxhash64(columns[0], F.lit(7)), parts).cast("int").alias("part"))
+    root = fresh_path(spark, "tiles")
+    fs, folder = FileSystem.from_uri(root)
+    fs.create_dir(folder, recursive=True)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        fs, folder = FileSystem.from_uri(root)
+        held = {c: table[c].to_numpy() for c in columns}
+        _, order = np.unique(held[columns[0]], return_index=True)
+        low = np.bitwise_count(held["fp"][order].view(np.uint64) & np.uint64(0xFFFFFFFF))
+        order = order[np.argsort(low, kind="stable")]
+        held = {c: v[order] for c, v in held.items()}
+        name = f"{table['band'][0].as_py()}-{table['part'][0].as_py()}-{TaskContext.get().taskAttemptId()}"
+        if "sets" in listed:
+            sets = table["sets"].combine_chunks()
+            at, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+            with fs.open_output_stream(f"{folder}/{name}.sets", compression=None) as out:
+                for k in order.tolist():
+                    out.write(values[at[k] : at[k + 1]].tobytes())
+            held["at"] = np.concatenate([[0], np.cumsum(at[order + 1] - at[order])])
+        buffer = io.BytesIO()
+        np.savez(buffer, **held)
+        with fs.open_output_stream(f"{folder}/{name}.npz") as out:
+            out.write(buffer.getbuffer())
+        return pa.table({"band": table["band"][:1], "part": table["part"][:1], "name": [name]})
+
+    return Tiles(root, materialize(dealt.groupBy("band", "part").applyInArrow(run, "band int, part int, name string"), "tile-names"), bands)
+
+
+class Tile:
+    """One stored tile: its columns as arrays, its sets read by byte ranges."""
+
+    def __init__(self, root: str, name: str):
+        self.fs, folder = FileSystem.from_uri(root)
+        self.name, self.path = name, f"{folder}/{name}"
+        with self.fs.open_input_file(f"{self.path}.npz") as f:
+            held = np.load(io.BytesIO(f.read()))
+        self.columns = {c: held[c] for c in held.files}
+        self.low = np.bitwise_count(self["fp"].view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    def __getitem__(self, column: str) -> np.ndarray:
+        return self.columns[column]
+
+    def sets(self, rows: np.ndarray, gap: int = 1 << 15) -> list[np.ndarray]:
+        """The sets of ascending rows; ranges less than ``gap`` values apart are read together."""
+        start, stop = self["at"][rows], self["at"][rows + 1]
+        out: list[np.ndarray] = []
+        with self.fs.open_input_file(f"{self.path}.sets") as f:
+            for part in np.split(np.arange(len(rows)), np.flatnonzero(start[1:] - stop[:-1] > gap) + 1) if len(rows) else ():
+                low, high = int(start[part[0]]), int(stop[part[-1]])
+                f.seek(8 * low)
+                data = np.frombuffer(f.read(8 * (high - low)), np.int64)
+                out += [data[s:e] for s, e in zip((start[part] - low).tolist(), (stop[part] - low).tolist())]
+        return out
+
+
+def on_tile_pairs(tiles: Tiles, radius: int, work: Callable[[Tile, Tile], Iterator[tuple[np.ndarray, ...]]], schema: str) -> DataFrame:
+    """The rows that ``work`` yields for each pair of tiles (a tile with itself too) that may hold fingerprints at
+    most ``radius`` bits apart. Tasks get the tiles' names and read the files."""
+    spark = tiles.names.sparkSession
+    reach = [(i, j) for i, x in enumerate(tiles.bands) for j, y in enumerate(tiles.bands) if i <= j and y[0] - x[1] <= radius]
+    # a task per pair of tiles, as far as a few for each shuffle partition go: their work is not in their bytes
+    count = sum(tiles.bands[i][2] * tiles.bands[j][2] for i, j in reach)
+    tasks = max(1, min(count, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    steps = spark.range(1, numPartitions=1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("band"), F.lit(j).alias("other")) for i, j in reach or [(-2, -2)]])))
+    left = tiles.names.join(F.broadcast(steps), "band").select(F.col("band").alias("from_band"), F.col("part").alias("from_part"), F.col("other").alias("band"), F.col("name").alias("left"))
+    pairs = left.join(tiles.names.withColumnRenamed("name", "right"), "band").where("from_band < band or part >= from_part").select("left", "right")
+    root, names = tiles.root, [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = (batch.column(c)[k].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
-                i, j = close_pairs(a.view(np.uint64), b.view(np.uint64), radius)
-                if len(i):
-                    all_ = np.concatenate([a, b])
-                    far = all_[i] != all_[j]
-                    yield pa.record_batch([pa.array(all_[i][far]), pa.array(all_[j][far])], ["a", "b"])
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if a is None or a.name != left:
+                    a = Tile(root, left)
+                for found in work(a, a if left == right else Tile(root, right)):
+                    if len(found[0]):
+                        yield pa.record_batch([pa.array(x) for x in found], names)
+
+    return pairs.repartition(tasks, F.xxhash64("left", "right")).sortWithinPartitions("left").mapInArrow(run, schema)
+
+
+def strips(a: Tile, b: Tile, radius: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row in a, row in b, bits) of the pairs whose fp are at most ``radius`` bits apart, strip by strip of a; of a
+    tile with itself each pair comes once. Rows are sorted by the population count of the lower half, so those
+    that can be near a strip are one range of b."""
+    x, y = a["fp"].view(np.uint64), b["fp"].view(np.uint64)
+    # the least difference of the upper halves' counts over the two tiles
+    p, q = (np.bitwise_count(v >> np.uint64(32)).astype(np.int64) for v in (x, y))
+    left = radius - max(0, int(q.min() - p.max()), int(p.min() - q.max()))
+    for at in range(0, len(x), rows):
+        stop = min(at + rows, len(x))
+        low, high = np.searchsorted(b.low, a.low[at] - left), np.searchsorted(b.low, a.low[stop - 1] + left, "right")
+        if a is b:
+            low = max(int(low), at)
+        d = np.bitwise_count(x[at:stop, None] ^ y[None, low:high])
+        i, j = np.nonzero(d <= radius)
+        w = d[i, j].astype(np.int64)
+        i, j = i + at, j + low
+        if a is b:
+            once = i < j
+            i, j, w = i[once], j[once], w[once]
+        yield i, j, w
+
+
+def links(nodes: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints at most ``radius`` bits apart. ``nodes``: distinct fp."""
+
+    def work(a: Tile, b: Tile) -> Iterator[tuple[np.ndarray, ...]]:
+        shift = 0 if a is b else len(a["fp"])
+        n = shift + len(b["fp"])
+        got_i, got_j = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i, j, _ in strips(a, b, radius, 256):
+            got_i, got_j = np.concatenate([got_i, i]), np.concatenate([got_j, j + shift])
+            if len(got_i) > 4 * n:
+                got_i, got_j = forest(got_i, got_j, n)
+        i, j = forest(got_i, got_j, n)
+        yield a["fp"][i], b["fp"][j - shift]
 
-    return pairs.repartition(F.xxhash64("left", "right")).mapInArrow(run, "a long, b long")
+    return on_tile_pairs(write_tiles(nodes, ("fp",), tile_rows), radius, work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -160,18 +303,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
 
 
 # Copies by similarity. A similarity of 0.8 over shingles lies about ten bits apart, too far for 64 bits to
-# decide, so two independent fingerprints are compared: tiles by the population counts of the first, then
-# both. A first pass verifies the links of a minimum spanning forest of what is close, which joins most
-# groups; a second verifies every close pair that the first has left in two groups. Votes are over distinct
-# shingles, as similarity is. Sets too small for the radii are joined exactly on their least hashes.
+# decide, so two independent fingerprints are compared, of the distinct shingles, as similarity is of sets. A
+# first pass over all tiles names the nodes that are close to any other. Only those nodes' sets are stored, in
+# tiles again, and a second pass over them verifies close pairs by their sets where it finds them: only verified
+# links, reduced to a spanning forest, leave a task, and no close pair is left unverified unless verified links
+# already join it. Sets too small for the radii are joined exactly on their least hashes.
 
 #: The expected share of differing bits at a similarity of 0.8 is 0.152; these lie 3.6 deviations above it.
 FIRST_RADIUS, BOTH_RADIUS = 20, 34
 WIDE_TILE_ROWS = 32768
+#: Hashes that a tile of sets holds, unless a single set has more.
+TILE_HASHES = 1 << 22
 #: Sets up to this size are compared with all others by exact links only: votes of a few shingles spread wider.
 FEW = 20
 FEW_TILE_ROWS = 512
-_NODE = ("id", "n", "root", "fp", "fp2")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -184,12 +329,12 @@ def remix(hashes: np.ndarray) -> np.ndarray:
 
 
 def double_fingerprints(docs: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
-    """(doc_id, key, n, few, fp, fp2) per row; key is the 128-bit hash of the set of shingle hashes, n its
+    """(doc_id, text_key, key, n, few, fp, fp2) per row; key is the 128-bit hash of the set of shingle hashes, n its
     size, few its sorted hashes if those of a set of ``FEW`` can be alike to it, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = utf8(batch.column(1))
+            data, at = utf8(batch.column(2))
             raw = data.tobytes()
             found = np.zeros((2, len(at) - 1), np.uint64)
             keys: list[bytes] = []
@@ -201,135 +346,109 @@ def double_fingerprints(docs: DataFrame, shingle: int, seed: int, similarity: fl
                 sizes.append(len(hashes))
                 few.append(hashes.view(np.int64) if len(hashes) * similarity <= FEW + 1e-6 else None)
                 found[:, k] = vote(hashes), vote(remix(hashes))
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(few, pa.list_(pa.int64())), *(pa.array(f.view(np.int64)) for f in found)], ["doc_id", "key", "n", "few", "fp", "fp2"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n long, few array<long>, fp long, fp2 long")
-
-
-def lightest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest: the edges of each weight in turn, over what lighter ones have joined."""
-    label = np.arange(n)
-    keep: list[np.ndarray] = []
-    for w in np.unique(weight):
-        at = np.flatnonzero(weight == w)
-        a, b = label[i[at]], label[j[at]]
-        at, a, b = at[a != b], a[a != b], b[a != b]
-        if not len(at):
-            continue
-        # one edge for each pair of trees, then a forest over the trees
-        _, once = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
-        at, a, b = at[once], a[once], b[once]
-        fa, fb = forest(a, b, n)
-        spans = {(int(x), int(y)): int(k) for x, y, k in zip(a, b, at)}
-        keep.append(np.array([spans[int(x), int(y)] for x, y in zip(fa, fb)], np.int64))
-        parent = np.arange(n)
-        while True:
-            u, v = parent[fa], parent[fb]
-            if (u == v).all():
-                break
-            np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
-            while not np.array_equal(up := parent[parent], parent):
-                parent = up
-        label = parent[label]
-    kept = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-    return i[kept], j[kept], weight[kept]
-
-
-@dataclass
-class Tile:
-    """Nodes by arrays: id, the set's size, the group known so far, (2, n) fingerprints."""
-
-    id: np.ndarray
-    n: np.ndarray
-    root: np.ndarray
-    prints: np.ndarray
-
-    @classmethod
-    def of(cls, rows: pa.StructArray) -> Tile:
-        id_, n, root, fp, fp2 = (rows.field(f).to_numpy() for f in _NODE)
-        return cls(id_, n, root, np.stack([fp, fp2]).view(np.uint64))
-
-
-def close_strips(
-    a: Tile, b: Tile, first: int, both: int, similarity: float, rows: int = 64
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(index in a, index in b, bits) of the pairs of different groups within both radii, strip by strip of
-    a. Sets whose sizes alone rule the similarity out are no pairs; of a tile with itself each pair comes once."""
-    same = a is b
-    for at in range(0, len(a.id), rows):
-        d = np.bitwise_count(a.prints[0, at : at + rows, None] ^ b.prints[0][None, :])
-        i, j = np.nonzero(d <= first)
-        w = d[i, j].astype(np.int64)
-        i += at
-        w += np.bitwise_count(a.prints[1, i] ^ b.prints[1, j])
-        least, most = np.minimum(a.n[i], b.n[j]), np.maximum(a.n[i], b.n[j])
-        near = (w <= both) & (a.root[i] != b.root[j]) & (least >= similarity * most - 1e-6)
-        if same:
-            near &= i < j
-        yield i[near], j[near], w[near]
-
-
-def wide_pairs(a: Tile, b: Tile, first: int, both: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The lightest forest of the pairs of close_strips."""
-    shift = 0 if a is b else len(a.id)
-    n = shift + len(b.id)
-    got = [np.zeros(0, np.int64)] * 3
-    for i, j, w in close_strips(a, b, first, both, similarity):
-        got = [np.concatenate(x) for x in zip(got, (i, j + shift, w))]
-        if len(got[0]) > 4 * n:
-            got = list(lightest(*got, n))
-    i, j, _ = lightest(*got, n)
-    return i, j - shift
-
-
-def _bands(counts: dict[int, int], tile_rows: int) -> list[tuple[int, int, int]]:
-    """(lowest, highest population count, parts) of the tiles' bands: neighbours join up to ``tile_rows``,
-    a larger one is dealt to parts. At most 65 bands, whatever the corpus."""
-    bands: list[list[int]] = []
-    for p in sorted(counts):
-        if bands and bands[-1][2] + counts[p] <= tile_rows:
-            bands[-1][1:] = [p, bands[-1][2] + counts[p]]
-        else:
-            bands.append([p, p, counts[p]])
-    return [(low, high, -(-n // tile_rows)) for low, high, n in bands]
-
-
-def wide_links(nodes: DataFrame, first: int, both: int, similarity: float, every: bool, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
-    """Edges (a, b) between ids of close nodes of different groups: a lightest forest of each pair of tiles,
-    or with ``every`` all of them. nodes: id, n, root, fp, fp2."""
-    spark = nodes.sparkSession
-    counted = nodes.withColumn("ones", F.bit_count("fp").cast("int"))
-    bands = _bands({r.ones: r.n for r in counted.groupBy("ones").agg(F.count("*").alias("n")).collect()}, tile_rows)
-    band = F.lit(-1)
-    parts = F.lit(1)
-    for k, (low, high, n) in enumerate(bands):
-        inside = F.col("ones").between(low, high)
-        band, parts = F.when(inside, k).otherwise(band), F.when(inside, n).otherwise(parts)
-    tiles = materialize(
-        counted.select(*_NODE, band.alias("band"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-        .groupBy("band", "part").agg(F.collect_list(F.struct(*_NODE)).alias("rows")),
-        "wide-tiles",
-    )
-    reach = [(i, j) for i, x in enumerate(bands) for j, y in enumerate(bands) if i <= j and y[0] - x[1] <= first]
-    # a task per pair of tiles, as far as a few for each shuffle partition go: their work is not in their bytes
-    count = sum(bands[i][2] * bands[j][2] for i, j in reach)
-    tasks = max(1, min(count, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    steps = spark.range(1, numPartitions=1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("band"), F.lit(j).alias("other")) for i, j in reach] or [F.struct(F.lit(-2).alias("band"), F.lit(-2).alias("other"))])))
-    left = tiles.withColumnRenamed("rows", "left").join(F.broadcast(steps), "band").select(F.col("band").alias("from_band"), F.col("part").alias("from_part"), F.col("other").alias("band"), "left")
-    pairs = left.join(tiles.withColumnRenamed("rows", "right"), "band").where("from_band < band or part >= from_part").select("left", "right")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                left, right = batch.column(0)[k].values, batch.column(1)[k].values
-                a = Tile.of(left)
-                b = a if left.equals(right) else Tile.of(right)
-                found = ((i, j) for i, j, _ in close_strips(a, b, first, both, similarity)) if every else [wide_pairs(a, b, first, both, similarity)]
-                for i, j in found:
-                    if len(i):
-                        yield pa.record_batch([pa.array(np.minimum(a.id[i], b.id[j])), pa.array(np.maximum(a.id[i], b.id[j]))], ["a", "b"])
-
-    return pairs.repartition(tasks, F.xxhash64(F.element_at("left", 1), F.element_at("right", 1))).mapInArrow(run, "a long, b long")
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(few, pa.list_(pa.int64())), *(pa.array(f.view(np.int64)) for f in found)],
+                ["doc_id", "text_key", "key", "n", "few", "fp", "fp2"],
+            )
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, key binary, n long, few array<long>, fp long, fp2 long")
+
+
+def close_strips(a: Tile, b: Tile, first: int, both: int, similarity: float, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row in a, row in b) of the pairs within both radii, strip by strip of a. Sets whose sizes alone rule the
+    similarity out are no pairs."""
+    p, q = a["fp2"].view(np.uint64), b["fp2"].view(np.uint64)
+    for i, j, w in strips(a, b, first, rows):
+        near = w + np.bitwise_count(p[i] ^ q[j]) <= both
+        i, j = i[near], j[near]
+        m, n = a["n"][i], b["n"][j]
+        near = np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6
+        yield i[near], j[near]
+
+
+def close_nodes(nodes: DataFrame, first: int, both: int, similarity: float, tile_rows: int) -> DataFrame:
+    """The distinct ids of nodes that are close to another. nodes: id, n, fp, fp2."""
+
+    def work(a: Tile, b: Tile) -> Iterator[tuple[np.ndarray, ...]]:
+        near = [np.zeros(len(a["id"]), bool), np.zeros(len(b["id"]), bool)]
+        for i, j in close_strips(a, b, first, both, similarity):
+            near[0][i], near[1][j] = True, True
+        yield (np.unique(np.concatenate([a["id"][near[0]], b["id"][near[1]]])),)
+
+    return on_tile_pairs(write_tiles(nodes, ("id", "n", "fp", "fp2"), tile_rows), first, work, "id long").distinct()
+
+
+class Sets:
+    """Sets of hashes by number, renumbered densely, for many comparisons of one with others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        kinds, self.values = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flag = np.zeros(len(kinds), bool)
+
+    def alike(self, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        """Mask of the pairs (i, j), sorted by i, of a Jaccard similarity of at least ``similarity``. No set is empty."""
+        out = np.zeros(len(i), bool)
+        heads = np.flatnonzero(np.diff(i, prepend=-1))
+        for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(i)]):
+            k, others = i[s], j[s:e]
+            mine = self.values[self.at[k] : self.at[k + 1]]
+            self.flag[mine] = True
+            if 4 * self.size[others].sum() > len(self.values):
+                common = np.add.reduceat(self.flag[self.values], self.at[:-1], dtype=np.int64)[others]
+            else:
+                ends = np.cumsum(self.size[others])
+                spots = np.arange(ends[-1]) + np.repeat(self.at[others] - (ends - self.size[others]), self.size[others])
+                common = np.add.reduceat(self.flag[self.values[spots]], ends - self.size[others], dtype=np.int64)
+            self.flag[mine] = False
+            out[s:e] = common >= similarity * (self.size[k] + self.size[others] - common)
+        return out
+
+
+def similar_links(nodes: DataFrame, first: int, both: int, similarity: float, tile_rows: int) -> DataFrame:
+    """Edges (a, b) that connect all close nodes at least ``similarity`` alike. nodes: id, n, fp, fp2, sets."""
+
+    def work(a: Tile, b: Tile) -> Iterator[tuple[np.ndarray, ...]]:
+        shift = 0 if a is b else len(a["id"])
+        label = np.arange(shift + len(b["id"]))
+        number = np.full(len(label), -1)
+        pending: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle() -> Iterator[tuple[np.ndarray, ...]]:
+            """Verify what is pending: first a forest of it, then every pair that verified links do not join."""
+            nonlocal label
+            i, j = (np.concatenate(x) for x in zip(*pending))
+            pending.clear()
+            # the sets of the rows that this strip needs
+            left, right = np.unique(i), np.unique(j)
+            held = Sets([*a.sets(left), *b.sets(right - shift)])
+            number[left] = np.arange(len(left))
+            place = np.full(len(label), -1)
+            place[right] = len(left) + np.arange(len(right))
+            for some in (True, False):
+                open_ = np.flatnonzero(label[i] != label[j])
+                if not len(open_):
+                    return
+                if some:
+                    open_ = open_[spanning(label[i[open_]], label[j[open_]], len(label))]
+                open_ = open_[np.argsort(i[open_], kind="stable")]
+                good = open_[held.alike(number[i[open_]], place[j[open_]], similarity)]
+                kept = good[spanning(label[i[good]], label[j[good]], len(label))]
+                label = merged(label, i[kept], j[kept])
+                yield a["id"][i[kept]], b["id"][j[kept] - shift]
+
+        for i, j in close_strips(a, b, first, both, similarity):
+            j = j + shift
+            open_ = label[i] != label[j]
+            if open_.any():
+                pending.append((i[open_], j[open_]))
+                if sum(len(x) for x, _ in pending) > 1 << 16:
+                    yield from settle()
+        if pending:
+            yield from settle()
+
+    return on_tile_pairs(write_tiles(nodes, ("id", "n", "fp", "fp2"), tile_rows, "n", TILE_HASHES), first, work, "a long, b long")
 
 
 def alike_pairs(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -382,49 +501,46 @@ def few_links(nodes: DataFrame, similarity: float, tile_rows: int = FEW_TILE_ROW
     return pairs.repartition("hash", "part", "from_part").select("left", "right", "same").mapInArrow(run, "a long, b long")
 
 
-def similar_edges(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
-    """The edges whose documents' sets of shingle hashes have a Jaccard similarity of at least ``similarity``."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(id, sets): the sorted shingle hashes of the texts named by ``wanted`` (id, doc_id, text_key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
             for at in range(0, batch.num_rows, 500):
-                part = texts.slice(at, 500)
-                sets = [np.unique(shingle_hashes((x.as_py() or "").encode(), shingle, seed)).view(np.int64).tolist() for x in part]
-                yield pa.record_batch([batch.column(0).slice(at, 500), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+                part = batch.slice(at, 500)
+                data, ends = utf8(part.column(1))
+                raw = data.tobytes()
+                sets = [np.unique(shingle_hashes(raw[s:e], shingle, seed)).view(np.int64) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "sets"])
 
-    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = materialize(texts.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
-    both = edges.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    common = F.size(F.array_intersect("left", "right"))
-    total = F.size("left") + F.size("right") - common
-    return both.where((total == 0) | (common >= F.lit(similarity) * total)).select("a", "b")
+    keyed = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__key"), "text")
+    texts = wanted.join(keyed, (F.col("doc_id") == F.col("__doc")) & (F.col("text_key") == F.col("__key"))).select("id", "text")
+    return texts.mapInArrow(run, "id long, sets array<long>")
 
 
 def drop_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest doc_id: groups are the
-    components of pairs at least ``similarity`` alike. Of rows that repeat a doc_id all stay or go; rows
-    without an id stay; texts without words are copies of one another."""
+    components of pairs at least ``similarity`` alike. Rows that repeat both doc_id and text all stay or go, texts
+    that share a doc_id are judged apart; rows without an id stay; texts without words are copies of one another."""
     marked = materialize(double_fingerprints(docs.where("doc_id is not null"), shingle, seed, similarity), "double-fingerprints")
-    nodes = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "few", "fp", "fp2"))), "nodes")
+    # a node per set, numbered where it is written
+    best = F.min(F.struct("doc_id", "text_key")).alias("best")
+    nodes = marked.groupBy("key").agg(best, *(F.first(c).alias(c) for c in ("n", "few", "fp", "fp2")))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("id"), "key", "best.*", "n", "few", "fp", "fp2"), "nodes")
     few = few_links(nodes.where("n > 0 and few is not null"), similarity)
-    close = wide_links(nodes.where(F.col("n") > FEW).withColumn("root", F.col("id")), FIRST_RADIUS, BOTH_RADIUS, similarity, False, tile_rows)
-    close = materialize(close.distinct(), "close")
-    edges = materialize(similar_edges(close, docs, similarity, shingle, seed).union(few), "similar")
-
-    def grouped(edges: DataFrame) -> DataFrame:
-        joined = components(edges)
-        return nodes.join(joined, nodes.id == joined.node, "left").select("key", "id", "n", "fp", "fp2", F.coalesce("component", "id").alias("root"))
-
-    # no close pair stays unverified: each lies within a group of verified links or is verified now
-    named = materialize(grouped(edges), "named")
-    apart = materialize(wide_links(named.where(F.col("n") > FEW), FIRST_RADIUS, BOTH_RADIUS, similarity, True, tile_rows).distinct().join(close, ["a", "b"], "left_anti"), "apart")
-    more = materialize(similar_edges(apart, docs, similarity, shingle, seed), "similar")
-    if not more.isEmpty():
-        named = grouped(edges.union(more))
-    gone = marked.join(named, "key").where("doc_id <> root").select("doc_id").distinct()
-    return docs.join(materialize(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    wide = nodes.where(F.col("n") > FEW).select("id", "n", "fp", "fp2", "doc_id", "text_key")
+    close = materialize(close_nodes(wide, FIRST_RADIUS, BOTH_RADIUS, similarity, tile_rows), "close")
+    wide = materialize(wide.join(close, "id", "left_semi"), "wide")
+    held = wide.select("id", "n", "fp", "fp2").join(shingle_sets(docs, wide.select("id", "doc_id", "text_key"), shingle, seed), "id")
+    edges = similar_links(held, FIRST_RADIUS, BOTH_RADIUS, similarity, tile_rows)
+    joined = components(edges.union(few))
+    # the smallest document of a group of several nodes, then of a node
+    named = materialize(nodes.select("id", "key", F.col("doc_id").alias("least")).join(joined, nodes.id == joined.node, "left").select("key", "least", F.coalesce("component", "id").alias("root")), "named")
+    group = named.groupBy("root").agg(F.min("least").alias("kept"))
+    keeps = named.join(group, "root").select("key", "kept")
+    gone = marked.join(keeps, "key").where("doc_id <> kept").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
+    gone = materialize(gone, "copies")
+    return docs.join(gone, (docs.doc_id == gone["__doc"]) & (F.xxhash64(docs.text) == gone["__key"]), "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, tile_rows: int = TILE_ROWS) -> DataFrame:

@@ -131,20 +131,27 @@ def test_drop_copies_by_sets_whatever_repeats(spark):
     assert {x for e in edges for x in e} == set(range(50))
 
 
-def test_lightest_forest_matches_a_sorted_scan():
+def test_drop_copies_judges_texts_of_one_id_apart(spark):
+    text = lambda g: " ".join(f"g{g}w{k}" for k in range(60))
+    rows = [(7, text(1)), (7, text(2)), (9, text(1) + " x"), (10, text(2) + " y"), (3, text(3)), (8, text(3) + " z"), (8, text(4))]
+    got = simhash.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted([(7, text(1)), (7, text(2)), (3, text(3)), (8, text(4))])
+
+
+def test_a_spanning_forest_joins_what_all_edges_join():
     rng = np.random.default_rng(13)
     for _ in range(30):
-        n = 40
-        i, j = rng.integers(0, n, 150), rng.integers(0, n, 150)
-        w = rng.integers(0, 6, 150)
-        _, _, got = simhash.lightest(i, j, w, n)
-        label, want = list(range(n)), []
-        for k in np.argsort(w, kind="stable"):
-            if label[i[k]] != label[j[k]]:
-                old, new = label[i[k]], label[j[k]]
-                label = [new if x == old else x for x in label]
-                want.append(int(w[k]))
-        assert sorted(got.tolist()) == want
+        i, j = rng.integers(0, 40, 60), rng.integers(0, 40, 60)
+        far = i != j
+        i, j = i[far], j[far]
+        kept = simhash.spanning(i, j, 40)
+        whole, part = (simhash.merged(np.arange(40), x, y) for x, y in ((i, j), (i[kept], j[kept])))
+        assert (whole == part).all() and len(kept) == 40 - len(set(whole.tolist()))
+        label = list(range(40))
+        for a, b in zip(i, j):
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+        assert whole.tolist() == label
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
