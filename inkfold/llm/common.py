@@ -52,6 +52,31 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def hash_bits(wanted: DataFrame, *keys: Column, bits: int = 1 << 24) -> DataFrame:
+    """(word, mask): a bitmap of the hashes of ``wanted``'s keys, 64 bits a row. Whatever the table, it has at most
+    bits / 64 rows (262,144, some 4 MB), so it may be broadcast."""
+    at = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    return wanted.select((at / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
+
+
+def hash_hits(df: DataFrame, bitmap: DataFrame, *keys: Column, bits: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that may be among those ``bitmap`` was made of, and those that surely are not. Only the
+    former have to be shuffled to find out; rows with null keys count as any others."""
+    word, mask, hit = (unused(x, df.columns) for x in ("word", "mask", "hit"))
+    at = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    both = df.join(F.broadcast(bitmap.toDF(word, mask)), (at / 64).cast("long") == F.col(word), "left")
+    both = both.withColumn(hit, F.coalesce(F.getbit(F.col(mask), (at % 64).cast("int")) == 1, F.lit(False)))
+    return both.where(F.col(hit)).select(*df.columns), both.where(~F.col(hit)).select(*df.columns)
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import fresh_path, materialize, utf8
+from inkfold.llm.common import fresh_path, hash_bits, hash_hits, materialize, utf8
 from inkfold.llm.components import components
 
 TILE_ROWS = 16384
@@ -502,20 +502,22 @@ def few_links(nodes: DataFrame, similarity: float, tile_rows: int = FEW_TILE_ROW
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(id, sets): the sorted shingle hashes of the texts named by ``wanted`` (id, doc_id, text_key)."""
+    """(id, n, fp, fp2, sets): ``wanted`` (id, n, fp, fp2, doc_id, text_key) with the sorted shingle hashes of its
+    texts. Texts that are surely not wanted are left out before the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                data, ends = utf8(part.column(1))
+                data, ends = utf8(part.column(4))
                 raw = data.tobytes()
                 sets = [np.unique(shingle_hashes(raw[s:e], shingle, seed)).view(np.int64) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "sets"])
+                yield pa.record_batch([*part.columns[:4], pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "fp", "fp2", "sets"])
 
-    keyed = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__key"), "text")
-    texts = wanted.join(keyed, (F.col("doc_id") == F.col("__doc")) & (F.col("text_key") == F.col("__key"))).select("id", "text")
-    return texts.mapInArrow(run, "id long, sets array<long>")
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"), "text")
+    keyed, _ = hash_hits(keyed, hash_bits(wanted, F.col("doc_id"), F.col("text_key")), F.col("doc"), F.col("key"))
+    texts = wanted.join(keyed, (F.col("doc_id") == F.col("doc")) & (F.col("text_key") == F.col("key"))).select("id", "n", "fp", "fp2", "text")
+    return texts.mapInArrow(run, "id long, n long, fp long, fp2 long, sets array<long>")
 
 
 def drop_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
@@ -531,16 +533,19 @@ def drop_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed
     wide = nodes.where(F.col("n") > FEW).select("id", "n", "fp", "fp2", "doc_id", "text_key")
     close = materialize(close_nodes(wide, FIRST_RADIUS, BOTH_RADIUS, similarity, tile_rows), "close")
     wide = materialize(wide.join(close, "id", "left_semi"), "wide")
-    held = wide.select("id", "n", "fp", "fp2").join(shingle_sets(docs, wide.select("id", "doc_id", "text_key"), shingle, seed), "id")
-    edges = similar_links(held, FIRST_RADIUS, BOTH_RADIUS, similarity, tile_rows)
+    edges = similar_links(shingle_sets(docs, wide, shingle, seed), FIRST_RADIUS, BOTH_RADIUS, similarity, tile_rows)
     joined = components(edges.union(few))
     # the smallest document of a group of several nodes, then of a node
     named = materialize(nodes.select("id", "key", F.col("doc_id").alias("least")).join(joined, nodes.id == joined.node, "left").select("key", "least", F.coalesce("component", "id").alias("root")), "named")
     group = named.groupBy("root").agg(F.min("least").alias("kept"))
     keeps = named.join(group, "root").select("key", "kept")
-    gone = marked.join(keeps, "key").where("doc_id <> kept").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
-    gone = materialize(gone, "copies")
-    return docs.join(gone, (docs.doc_id == gone["__doc"]) & (F.xxhash64(docs.text) == gone["__key"]), "left_anti").select(*docs.columns)
+    gone = marked.join(keeps, "key").where("doc_id <> kept").select("doc_id", "text_key").distinct()
+    gone = materialize(gone.toDF("gone_id", "gone_key"), "copies")
+    # most rows are seen to stay without a shuffle of their texts
+    key = (F.col("doc_id"), F.xxhash64("text"))
+    maybe, stay = hash_hits(docs, hash_bits(gone, F.col("gone_id"), F.col("gone_key")), *key)
+    maybe = maybe.join(gone, (maybe.doc_id == gone.gone_id) & (F.xxhash64(maybe.text) == gone.gone_key), "left_anti")
+    return stay.union(maybe.select(*docs.columns))
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, tile_rows: int = TILE_ROWS) -> DataFrame:
