@@ -16,11 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt over the cores: a file may be a single row group and so a single
+    task. A table of many files stays as its scan deals it, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share; a temporary one
-    only where the setting is missing, as in a local test."""
+    """The folder named by spark.checkpoint.dir, which driver and executors share; a temporary one only where the
+    setting is missing and all executors are in this process, as in a local test. On a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="inkfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -109,11 +118,15 @@ def blocks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, max_rows: int) -> DataFrame:
     """Texts with a label to learn from: doc_id, text, y. At most ``max_rows`` label rows whose
     remainder is not ``held``, chosen by a hash of doc_id, so the sample, unlike the corpus, is bounded
-    and may be broadcast to the scan of the texts."""
+    and may be broadcast to the scan of the texts. Of texts that share a doc_id the one whose hash is the
+    least teaches, so there are no more texts than label rows; it is chosen by hashes before texts move."""
     chosen = (
         labels.select("doc_id", F.col(target).cast("int").alias("y"))
         .where(F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), modulus) != held))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).join(F.broadcast(chosen), "doc_id")
+    # no more rows than ``chosen``
+    one = found.groupBy("doc_id").agg(F.min("key").alias("key"))
+    return found.join(F.broadcast(one), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "text", "y")
