@@ -8,7 +8,8 @@ vanishes from the corpus. Lines shorter than ``min_chars`` are never touched.
 
 Defined results: a null text stays null; a null site counts as one site, the empty one; rows equal in
 doc_id and text share their positions and so keep or lose the same lines; null ids order first; an
-empty table gives an empty result; columns beyond doc_id, text and source pass through untouched.
+empty table gives an empty result; columns beyond doc_id, text and source pass through untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import materialize
+from inkfold.llm.common import hash_bits, hash_hits, materialize, unused
 
 _KEY = "__text_key"
 _CUT = "__cut"
@@ -66,17 +67,20 @@ def removals(docs: DataFrame, min_sites: int, min_chars: int, lg_k: int = 12) ->
 
 def dedup_lines(docs: DataFrame, min_sites: int = 4, min_chars: int = 20, lg_k: int = 12, counts: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with repeated boilerplate lines cut from ``text``; with
-    ``counts`` also n_lines and n_removed, in place of columns of those names."""
-    cut = materialize(removals(docs, min_sites, min_chars, lg_k), "cut")
-    left = docs.withColumn(_KEY, F.xxhash64("text"))
-    right = cut.select(F.col("doc_id").alias("__id"), F.col(_KEY).alias("__right_key"), _CUT).hint("shuffle_hash")
-    joined = left.join(right, left.doc_id.eqNullSafe(right["__id"]) & (left[_KEY] == right["__right_key"]), "left")
-    kept = F.array_join(F.filter(_lines("text"), lambda x, i: ~F.array_contains(_CUT, i)), "\n")
-    text = F.when(F.col(_CUT).isNull(), F.col("text")).otherwise(kept)
+    ``counts`` also n_lines and n_removed, in place of columns of those names. Documents that surely lose no line
+    are not shuffled."""
+    id_, key, gone = (unused(x, docs.columns) for x in ("id", "key", "gone"))
+    cut = materialize(removals(docs, min_sites, min_chars, lg_k).toDF(id_, key, gone), "cut")
+    maybe, whole = hash_hits(docs, hash_bits(cut, F.col(id_), F.col(key)), F.col("doc_id"), F.xxhash64("text"))
+    right = cut.hint("shuffle_hash")
+    joined = maybe.join(right, maybe.doc_id.eqNullSafe(right[id_]) & (F.xxhash64(maybe.text) == right[key]), "left").drop(id_, key)
+    joined = joined.union(whole.withColumn(gone, F.lit(None).cast("array<int>")))
+    kept = F.array_join(F.filter(_lines("text"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
     own = ("n_lines", "n_removed") if counts else ()
     out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in own]
     if counts:
-        out += [F.coalesce(F.size(_lines("text")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(_CUT), F.lit(0)).cast("long").alias("n_removed")]
+        out += [F.coalesce(F.size(_lines("text")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")]
     return joined.select(*out)
 
 
