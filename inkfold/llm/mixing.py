@@ -17,10 +17,11 @@ All documents are kept. When a source runs out its later slots stay empty; ``in_
 before the first empty one, where the deviation bound holds.
 
 Numbering documents within a source does not gather a source in one task: rows are dealt by source and
-leading digits of their order key, numbered there, and shifted by the running counts of the buckets.
-Defined results: a null source is the source named by the empty text; null ids order by the empty text;
-rows that repeat each take a place; an empty table gives an empty result; other columns pass through,
-but for those named as the mix's own, which are replaced.
+leading digits of their order key, numbered there, and shifted by the running counts of the buckets. Rows without
+an id would share one key; they are dealt by the hash of their text.
+Defined results: a null source is the source named by the empty text; null ids order by the empty text and then by
+their texts' hashes; rows that repeat each take a place; an empty table gives an empty result; other columns pass
+through whatever their names, but for those named as the mix's own, which are replaced.
 """
 
 from __future__ import annotations
@@ -110,7 +111,9 @@ def mix(docs: DataFrame, block_docs: int = 16, weights: dict[str, float] | None
     and in_mix. ``weights``: target weight by source, by default the square root of its documents;
     sources without a weight are an error, as they would be lost. ``exact``: hold the bound against the weights."""
     spark = docs.sparkSession
-    named = docs.withColumn("__source", F.coalesce("source", F.lit("")))
+    text = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    # the input's columns travel as one, so that no name of theirs meets one of the mix's
+    named = docs.select(F.struct("*").alias("__all"), "doc_id", F.coalesce("source", F.lit("")).alias("__source"), text.alias("__text"))
     found = named.groupBy("__source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -148,11 +151,13 @@ def mix(docs: DataFrame, block_docs: int = 16, weights: dict[str, float] | None
     while 16**digits * 4000 < n and digits < 8:
         digits += 1
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = named.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, digits))
+    empty = F.md5(F.lit("").cast("binary"))
+    side = F.when(F.col("doc_id").isNull(), F.concat(F.lit("1"), F.substring(F.lpad(F.hex(F.col("__text").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), 1, digits))).when(F.col("__key") < empty, "0").otherwise("2")
+    keyed = named.withColumn("__key", key).withColumn("__bucket", F.concat(F.substring("__key", 1, digits), side))
     per_bucket = keyed.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select("__source", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__source", "__bucket").orderBy("__key", "doc_id")
+    within = Window.partitionBy("__source", "__bucket").orderBy("__key", "doc_id", "__text")
     ranked = keyed.withColumn("__row", F.row_number().over(within)).join(starts, ["__source", "__bucket"])
     ranked = ranked.withColumn("__rank", F.col("__start") + F.col("__row") - 1).withColumn("__block", F.expr(f"__rank div {block_docs}"))
     ranked = ranked.join(F.broadcast(shares), "__source")
@@ -168,7 +173,7 @@ def mix(docs: DataFrame, block_docs: int = 16, weights: dict[str, float] | None
         slot = F.coalesce("__head", slot + horizon)
     own = ("mix_block", "mix_slot", "mix_place", "in_mix")
     return placed.select(
-        *[F.col(c) for c in docs.columns if c not in own], F.col("__block").alias("mix_block"), slot.alias("mix_slot"), (F.col("__rank") % block_docs).alias("mix_place"), (slot < horizon).alias("in_mix")
+        *[F.col("__all").getField(c).alias(c) for c in docs.columns if c not in own], F.col("__block").alias("mix_block"), slot.alias("mix_slot"), (F.col("__rank") % block_docs).alias("mix_place"), (slot < horizon).alias("in_mix")
     )
 
 
