@@ -7,6 +7,9 @@ kept in an inverted index from token to rule. A URL's rules are found through th
 matched tokens; the rule of highest confidence, then support, then size decides, else the default.
 Equal token sets are looked up once.
 
+Tokens that always occur together are mined as one item, since sets that differ only in them say the same; so a
+template of many parts does not make FP-growth list all subsets of its parts. Rules name each of such tokens.
+
 Explicit rules come first: they fit a host and its subdomains when the path starts with theirs; of those
 that fit the longest wins.
 Defined results: a URL that is null or has no ``://`` has empty host and path, no tokens and the default
@@ -17,12 +20,15 @@ an empty result; columns beyond page_id and url are ignored.
 from __future__ import annotations
 
 import json
+from itertools import combinations, product
 from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm.common import materialize
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _AFTER = r"(?s)^.*?://"
 
@@ -66,26 +72,38 @@ def mine(
     labelled: DataFrame, min_support: float, min_rows: int, min_confidence: float, max_tokens: int, max_rules: int
 ) -> list[tuple[list[str], str, float, float]]:
     """(tokens, verdict, confidence, support) of the rules, best first. labelled: tokens, label (non-null).
-    A rule holds for at least ``min_rows`` rows and the share ``min_support`` of them; that bounds the
-    number of frequent sets, and ``max_rules`` that of the rules."""
-    items = labelled.where(F.size("tokens") > 0).select(F.array_append("tokens", F.concat(F.lit("label="), F.col("label"))).alias("items"))
-    n = items.count()
+    A rule holds for at least ``min_rows`` rows and the share ``min_support`` of them, so at most 1 / min_support
+    tokens of a URL matter. ``max_rules`` bounds the rules, best first, after redundant ones are left out."""
+    sets = materialize(labelled.where(F.size("tokens") > 0).groupBy("tokens", "label").agg(F.count("*").alias("rows")), "token-sets")
+    n = sets.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     least = max(ceil(min_support * n), min_rows)
     if n < least:
         return []
+    # tokens of the same sets have equal sums of hashes over them
+    hash_ = F.xxhash64("tokens").cast("decimal(38,0)")
+    each = sets.select("rows", "label", hash_.alias("of"), F.explode("tokens").alias("token"))
+    frequent = each.groupBy("token").agg(F.sum("rows").alias("rows"), F.count("*").alias("sets"), F.sum("of").alias("of")).where(F.col("rows") >= least)
+    # at most (tokens of a URL) / min_support rows
+    classes: dict[tuple, list[str]] = {}
+    for r in frequent.collect():
+        classes.setdefault((r.rows, r.sets, r.of), []).append(r.token)
+    same = {min(c): sorted(c) for c in classes.values()}
+    items = labelled.where(F.size("tokens") > 0).select(F.array_append(F.filter("tokens", lambda t: t.isin(sorted(same))), F.concat(F.lit("label="), F.col("label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(items)
-    best = (
+    found = (
         model.associationRules.where(F.element_at("consequent", 1).startswith("label=") & (F.size("antecedent") <= max_tokens))
         .where(~F.exists("antecedent", lambda x: x.startswith("label=")))
-        .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 7, 99).alias("verdict"), "confidence", "support")
-        .orderBy(F.desc("confidence"), F.desc("support"), F.desc(F.size("tokens")), "tokens", "verdict").limit(max_rules).collect()
+        .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 7, 99).alias("verdict"), "confidence", "support").collect()
     )
     # more general rules first: one that covers another with no less confidence makes it redundant
+    general: dict[frozenset[str], float] = {}
     kept: list[tuple[list[str], str, float, float]] = []
-    for r in sorted(best, key=lambda r: (len(r.tokens), -r.confidence, -r.support, r.tokens)):
-        if not any(c >= r.confidence and set(t) <= set(r.tokens) for t, _, c, _ in kept):
-            kept.append((list(r.tokens), r.verdict, r.confidence, r.support))
-    return sorted(kept, key=lambda r: (-r[2], -r[3], -len(r[0]), r[0], r[1]))
+    for r in sorted(found, key=lambda r: (len(r.tokens), -r.confidence, -r.support, r.tokens)):
+        parts = [frozenset(c) for k in range(1, len(r.tokens)) for c in combinations(r.tokens, k)]
+        if not any(general.get(p, -1.0) >= r.confidence for p in parts):
+            general[frozenset(r.tokens)] = r.confidence
+            kept += [(sorted(choice), r.verdict, r.confidence, r.support) for choice in product(*(same[t] for t in r.tokens))]
+    return sorted(kept, key=lambda r: (-r[2], -r[3], -len(r[0]), r[0], r[1]))[:max_rules]
 
 
 def _literal(near: DataFrame, rows: list[dict], schema: str) -> DataFrame:
@@ -120,7 +138,10 @@ def judge(
     labelled = read.select("tokens", F.coalesce(seed_label(), F.col("ruled"), F.lit(default)).alias("label"))
     mined = mine(labelled, min_support, min_rows, min_confidence, max_tokens, max_rules)
     if mined:
-        read = read.join(match(read.select("tokens").distinct(), mined), "tokens", "left")
+        # URLs without tokens would share one key; no rule fits them
+        bare = read.where(F.size("tokens") == 0).withColumns({"mined_rule": F.lit(None).cast("string"), "mined_verdict": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
+        full = read.where(F.size("tokens") > 0)
+        read = full.join(match(full.select("tokens").distinct(), mined), "tokens", "left").unionByName(bare)
     else:
         read = read.withColumns({"mined_rule": F.lit(None).cast("string"), "mined_verdict": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     return read.select("page_id", "host", "path", "rule", F.coalesce("ruled", "mined_verdict", F.lit(default)).alias("verdict"), "mined_rule", "confidence")
