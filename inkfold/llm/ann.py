@@ -252,6 +252,8 @@ def nearest(
         columns = zip(*rows) if rows else ((), (), ())
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    found = tasks.groupBy("dim", "shard", "block").applyInArrow(run, "query_id long, vec_id long, score double")
+    # a task for each shard and block, as far as a few for each shuffle partition go: their work is not in their bytes
+    n = max(1, min(shards.count() * blocks, 8 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    found = tasks.repartition(n, "dim", "shard", "block").groupBy("dim", "shard", "block").applyInArrow(run, "query_id long, vec_id long, score double")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
