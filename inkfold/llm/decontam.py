@@ -8,7 +8,9 @@ and verified by an alignment restricted to the band. Nothing within the edit bud
 Texts and items are compared folded: ASCII and Latin-1 capitals as small letters, every run of other
 ASCII characters than letters and digits as one blank. Positions are in the folded text.
 Defined results: a null or empty text or item takes no part; items of fewer than q folded bytes take no
-part; repeated rows are each searched; an empty benchmark gives no rows; other columns are ignored.
+part; repeated rows are each searched; an empty benchmark, or no documents, give no rows; other columns are ignored.
+A text above a mebibyte is searched alone, in memory of some tens of bytes for each of its own; what frequent q-grams
+expand to is handled by ranges of windows, about ``EXPAND`` entries at a time unless a single window has more.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import blocks, utf8
+from inkfold.llm.common import blocks, materialize, utf8
 
 Q = 8
 _FOLD = np.full(256, 32, np.uint8)
@@ -30,6 +32,7 @@ _FOLD[65:91] = _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
+EXPAND = 1 << 22
 #: alignment cells hold cost * _UNIT + start column, so the smallest cell also names its start
 _UNIT = np.int64(1 << 32)
 
@@ -125,14 +128,33 @@ def candidates(w: Windows, data: np.ndarray, at: np.ndarray, width: int) -> tupl
     many = w.first[slot + 1] - w.first[slot]
     if not many.sum():
         return none
-    listed = np.repeat(w.first[slot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    window, offset = w.window[listed], w.offset[listed]
-    text, pos = np.repeat(text, many), np.repeat(pos, many)
+    first, total = w.first[slot], int(many.sum())
+    if total <= EXPAND:
+        return _banded(w, at, width, pos, text, first, many)
+    # ranges of windows with at most about EXPAND shared q-grams each; a q-gram's windows are listed in order
+    uses = np.bincount(slot, minlength=len(w.keys))
+    share = np.bincount(w.window, np.repeat(uses, np.diff(w.first)), len(w.length)).cumsum()
+    cuts = np.unique([0, *(np.searchsorted(share, np.arange(EXPAND, total, EXPAND)) + 1).tolist(), len(w.length)])
+    listed = np.repeat(np.arange(len(w.keys)), np.diff(w.first)) * len(w.length) + w.window
+    found = []
+    for low, high in zip(cuts, cuts[1:]):
+        start, stop = (np.searchsorted(listed, slot * len(w.length) + x) for x in (low, high))
+        some = stop > start
+        if some.any():
+            found.append(_banded(w, at, width, pos[some], text[some], start[some], (stop - start)[some]))
+    return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
+
+
+def _banded(
+    w: Windows, at: np.ndarray, width: int, pos: np.ndarray, text: np.ndarray, first: np.ndarray, many: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidates among ``many`` entries of the index from ``first`` on, which share the q-grams at ``pos``."""
     shift = w.texts.shape[1]
-    band = (pos - at[text] - offset + shift) // width
     span = int((at[1:] - at[:-1]).max() + shift) // width + 3
-    key = (text * len(w.length) + window) * span + band
-    key, count = np.unique(key, return_counts=True)
+    listed = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    text, pos = np.repeat(text, many), np.repeat(pos, many)
+    band = (pos - at[text] - w.offset[listed] + shift) // width
+    key, count = np.unique((text * len(w.length) + w.window[listed]) * span + band, return_counts=True)
     following = np.zeros_like(count)
     following[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
     preceding = np.zeros_like(count)
@@ -198,7 +220,7 @@ def search(w: Windows, data: np.ndarray, at: np.ndarray, limit: int = 512) -> di
 
 def _groups(bench: DataFrame, size: int, stride: int, error: float, max_bytes: int) -> Iterator[Windows]:
     """Window sets of the benchmark; a benchmark above ``max_bytes`` is searched in several passes, so
-    the index each task holds stays bounded."""
+    the index each task holds stays bounded, but for a single item above that size."""
     rows = bench.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = -(-total // max_bytes)
@@ -214,9 +236,13 @@ def contaminated(
     item_windows (all of the item), edits (of the best window), start and end (in the folded text)."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, windows long, item_windows long, edits long, start long, end long"
-    out = None
+    out, before = None, None
     for w in _groups(bench, size, stride, error, max_bytes):
-        shared = spark.sparkContext.broadcast(w)
+        if before is not None:
+            # of several passes one index at a time is held
+            out = materialize(out, "contaminated")
+            before.destroy()
+        shared = before = spark.sparkContext.broadcast(w)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -239,9 +265,12 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     at_text = docs.columns.index("text")
-    out = docs
+    out, before = docs, None
     for w in _groups(bench, size, stride, error, max_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(w)
+        if before is not None:
+            out = materialize(out, "clean")
+            before.destroy()
+        shared = before = docs.sparkSession.sparkContext.broadcast(w)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
