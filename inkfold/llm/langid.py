@@ -8,9 +8,13 @@ context is found by ``order`` table lookups for all bytes of a block at once, an
 length per language is a sum of table entries. The shortest code wins.
 
 Folding: ASCII and Latin-1 capitals become small letters; runs of ASCII non-letters become one blank.
-Learned from a bounded sample per language (``per_lang``); every whole text is scored.
+Learned from a bounded sample per language (``per_lang``, rounded up to a whole number per bucket) of the
+``max_langs`` languages with the most rows; the tree holds the ``max_nodes`` most used contexts, fewer with more than
+16 languages, so the model is bounded whatever the column lang holds. Every whole text is scored; a text above a
+mebibyte is scored alone, in memory of some forty bytes for each of its own.
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn
-from every text is ``und``; repeated rows are each returned; ties go to the language that sorts first.
+from every text is ``und``; repeated rows are each returned; ties go to the language that sorts first; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from inkfold.llm.common import blocks, remainder, utf8
 #: blank, 26 letters, 128 bytes of multi-byte characters
 SYMBOLS = 155
 BUCKETS = 32
+#: Entries of the dense code-length table, 4 bytes each; the tree gets fewer nodes for more languages.
+MAX_CELLS = 12_000 * SYMBOLS * 16
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[65:91] = _FOLD[97:123] = np.arange(1, 27)
 _FOLD[128:] = np.arange(27, 155)
@@ -164,7 +170,7 @@ def build(langs: list[str], lang: np.ndarray, keys: np.ndarray, counts: np.ndarr
     return ContextModel(langs, order, go, -np.log2(chance).astype(np.float32))
 
 
-def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 600, order: int = 4, max_nodes: int = 12000) -> ContextModel:
+def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 600, order: int = 4, max_nodes: int = 12000, max_langs: int = 200) -> ContextModel:
     """Learn from text and non-null lang of rows whose remainder is not ``held``: of each language at
     most ``per_lang`` rows, whole, chosen by a hash of doc_id. The hash deals a language's rows to
     BUCKETS, each of which gives its share, so no task ranks a whole language. Only gram counts reach
@@ -175,7 +181,8 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 600, o
         .distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
         .withColumn("rank", rank).where(F.col("rank") <= -(-per_lang // BUCKETS)).select("doc_id", "lang")
     )
-    langs = sorted(r.lang for r in chosen.select("lang").distinct().collect())
+    most = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), modulus) != held)).groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sorted(r.lang for r in most.orderBy(F.desc("n"), "lang").limit(max_langs).collect())
     index = {x: i for i, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +192,11 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 600, o
                 keys, counts = count_grams(*utf8(batch.column(1).filter(pa.array(kind == k))), order)
                 yield pa.record_batch([pa.array(np.full(len(keys), k)), pa.array(keys), pa.array(counts)], ["lang", "key", "n"])
 
+    chosen = chosen.where(F.col("lang").isin(langs)) if len(langs) == max_langs else chosen
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
     got = sample.mapInArrow(run, "lang long, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     lang, keys, counts = (got[c].to_numpy() for c in ("lang", "key", "n"))
-    return build(langs, lang, keys, counts, order, max_nodes)
+    return build(langs, lang, keys, counts, order, min(max_nodes, MAX_CELLS // (SYMBOLS * max(len(langs), 1))))
 
 
 def predict(docs: DataFrame, model: ContextModel) -> DataFrame:

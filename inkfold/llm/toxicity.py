@@ -211,8 +211,8 @@ def fit(
                     yield flush()
         yield flush()
 
-    # exact copies of a text teach once
-    sample = materialize(labelled_sample(docs, labels, "toxic", modulus, held, max_rows).select("y", "text").dropDuplicates(["text"]), "sample")
+    # exact copies of a text teach once, as toxic if any is labelled so
+    sample = materialize(labelled_sample(docs, labels, "toxic", modulus, held, max_rows).groupBy("text").agg(F.max("y").alias("y")).select("y", "text"), "sample")
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < positive < n:
         return StemModel(0.0, {}, np.zeros(0))
