@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.llm import ann, decontam, langid, linededup, mixing, quality, simhash, toxicity, urlrules, warc
-from inkfold.llm.common import remainder, table
+from inkfold.llm.common import remainder, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +21,7 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @_query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, shingle=4)
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")), radius=4, shingle=4)
 
 
 def _held_out(modulus: int, held: int) -> Column:
@@ -34,21 +34,21 @@ def _predicted(threshold: float) -> Column:
 
 @_query
 def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = quality.fit(docs, table(spark, sf_dir, "labels"), modulus=3, held=1)
     return quality.score(docs, model).select("doc_id", _held_out(3, 1), "score", _predicted(0.5))
 
 
 @_query
 def op7_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), modulus=4, held=2)
     return toxicity.score(docs, model).select("doc_id", _held_out(4, 2), "score", _predicted(0.3))
 
 
 @_query
 def op3_langid_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = langid.fit(docs, modulus=4, held=2)
     return langid.predict(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
@@ -66,7 +66,7 @@ ORACLES["op5_line_dedup_site_spread"] = linededup.SQL
 
 @_query
 def op6_decontamination_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 @_query
@@ -81,7 +81,9 @@ ORACLES["op1_pfair_mixing"] = mixing.SQL
 
 @_query
 def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages"), least_bytes=0).records()
+    """Every page is archived; then every URL is looked up in the index and its records are read back."""
+    pages = spread(table(spark, sf_dir, "pages"))
+    return warc.archive(pages, least_bytes=0).records(urls=pages)
 
 
 ORACLES["op2_warc_capture_index"] = warc.SQL

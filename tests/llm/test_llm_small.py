@@ -235,6 +235,11 @@ def test_langid(spark):
     assert np.allclose(bits, [brute_bits(model, t) for t in texts], rtol=1e-6)
     # the chances of all symbols after a context sum to no more than one
     assert (np.exp2(-model.bits.astype(float)).sum(1) <= 1 + 1e-4).all()
+    two = langid.fit(docs, max_langs=2)
+    assert len(two.langs) == 2
+    many = spark.createDataFrame([(k, f"word{k} text", f"l{k}", "s", 0) for k in range(300)], DOCS)
+    wide = langid.fit(many)
+    assert len(wide.langs) == 200 and wide.bits.size <= langid.MAX_CELLS * 1.2
     empty = langid.fit(docs.where("false"))
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
 
@@ -252,6 +257,8 @@ def test_line_dedup_against_brute_force(spark):
         rows.append((i, "\n".join(lines), f"site{rng.integers(0, 6)}" if i % 10 else None))
     rows += [(500, None, "site1"), (501, "", "site1"), (7, rows[7][1], rows[7][2]), (None, "  " + shared[0] + "\t\r\n" + shared[0], "x"), (502, "\n\n", "y"), (503, "long line " * 50_000, "z")]
     docs = docs_of(spark, rows).withColumn("pos", F.lit("clash")).withColumn("h", F.lit(1))
+    for name in ("__cut", "__id", "__text_key", "word", "mask", "hit", "id", "key", "gone"):
+        docs = docs.withColumn(name, F.lit("clash"))
     for min_sites in (3, 5):
         got = linededup.dedup_lines(docs, min_sites=min_sites, min_chars=20, lg_k=8)
         assert got.columns == docs.columns
@@ -286,6 +293,15 @@ def edit_distance_in(pattern, text):
     return int(row.min())
 
 
+def test_frequent_grams_are_expanded_by_groups(monkeypatch):
+    items = [(k, f"the same opening words of every item then number {k} " + "and on " * 12) for k in range(30)]
+    w = decontam.windows(items, 80, 40, 0.1)
+    data, at = decontam.fold(*utf8(pa.array([t for _, t in items] + ["and on " * 60])))
+    whole = decontam.search(w, data, at)
+    monkeypatch.setattr(decontam, "EXPAND", 3000)
+    assert whole and decontam.search(w, data, at) == whole
+
+
 def test_decontamination_against_full_alignment(spark):
     rng = np.random.default_rng(6)
     alphabet = list("abcdefgh ")
@@ -342,9 +358,13 @@ def test_period_schedule_stays_within_a_block():
 
 def test_mix_keeps_all_rows_and_the_bound(spark):
     rows = [(i, f"t{i}", "hot" if i % 3 else f"s{i % 7}") for i in range(3000)] + [(1, "again", "hot"), (None, "n", None), (9999, None, "")]
+    rows += [(None, f"no id {k}", "hot") for k in range(500)]
     docs = docs_of(spark, rows).withColumn("slot", F.lit("clash")).withColumn("i", F.lit(0)).withColumn("mix_slot", F.lit(-1))
+    for name in ("__rank", "__key", "__bucket", "__all", "__i", "__slot"):
+        docs = docs.withColumn(name, F.lit("kept"))
     got = mixing.mix(docs, block_docs=8, period=64).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
+    assert all(r["__rank"] == r["__key"] == r["__bucket"] == r["__all"] == r["__i"] == r["__slot"] == "kept" for r in got)
     seats = Counter((r.mix_slot, r.mix_place) for r in got)
     assert max(seats.values()) == 1
     weights = mixing.square_root_weights(Counter(s or "" for _, _, s in rows))
@@ -405,6 +425,9 @@ def test_warc_round_trip_and_lookup(spark):
     assert {r.fields["X-Page-ID"] for r in found} == {"3", "303"}
     assert a.fetch(rows[199][1])[0].payload.decode() == rows[199][2]
     assert a.fetch("https://nowhere.example.com/") == []
+    assert Counter(tuple(r) for r in a.records(urls=pages).collect()) == want
+    revisit = a.fetch(rows[3][1])
+    assert {(r.fields["WARC-Type"], r.payload.decode()) for r in revisit} == {("revisit", rows[3][2]), ("response", "other payload")}
     low, high = warc.surt("https://m.host2.example.com/"), warc.surt("https://www.host2.example.com/zzz")
     inside = {r.page_id for r in a.all_captures(low, high).collect()}
     assert inside == {i for i, u, _ in rows if low <= warc.surt(u) <= high}
@@ -421,6 +444,18 @@ def test_index_bisects_blocks(spark):
     a = warc.Archive("unused", root, manifest)
     assert sorted(r.page_id for r in a.all_captures("k00100", "k00102").collect()) == list(range(300, 309))
     assert a.all_captures().count() == 2000
+    # a key may run through several parts, and one part may hold many keys
+    hot = spark.createDataFrame([("hot", i, "f", i, 1) for i in range(900)] + [(f"z{i}", i, "f", i, 1) for i in range(50)], warc.CAPTURES)
+    root = warc.fresh_path(spark, "cdx")
+    b = warc.Archive("unused", root, warc.write_index(hot.repartition(4), root, block_lines=20))
+    urls = spark.createDataFrame([("hot",), ("hot",), ("z7",), ("nothing",), (None,)], "url string")
+    assert Counter((r.surt, r.page_id) for r in b.lookup(urls).collect()) == Counter([("hot", i) for i in range(900)] + [("z7", 7)])
+
+
+def test_a_payload_that_a_third_of_the_pages_share_is_joined_in_parts(spark):
+    rows = [(i, f"https://h.example/{i}", "same" if i % 3 else f"own {i}") for i in range(600)]
+    got = warc.decide(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.refers_to) for r in got) == Counter((i, 599 if h == "same" and i != 599 else None) for i, _, h in rows)
 
 
 def test_broken_records_are_noticed():
@@ -456,6 +491,31 @@ def test_mined_rules_match_brute_force(spark):
     assert urlrules.judge(pages.where("false"), []).count() == 0
 
 
+def test_long_url_templates_are_mined(spark):
+    template = "/".join(f"part{k}" for k in range(40))
+    rows = [(i, f"https://{'casino' if i % 2 else 'news'}.example.net/{template}/{i}") for i in range(60)]
+    rows += [(100 + i, f"https://other{i}.example.com/x{i}") for i in range(100)] + [(300, "https://"), (301, None), (302, "http://a.b/" + "/".join(f"once{k}" for k in range(3000)))]
+    got = {r.page_id: r for r in urlrules.judge(spark.createDataFrame(rows, "page_id long, url string"), [], min_support=0.02, min_rows=5).collect()}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(60)) and got[1].mined_rule == "h:casino"
+    assert all(got[i].verdict == "allow" and got[i].mined_rule is None for i in (300, 301))
+
+
+def test_rules_hold_on_hosts_that_were_not_labelled(spark):
+    """Rules of the labels of half of the hosts decide the others: verdicts are of tokens, not of hosts."""
+    kinds = ("casino", "bets", "news", "shop")
+    rows = [(i, f"https://{kinds[i % 4]}-{i % 37}.example.{'net' if i % 3 else 'com'}/{'slots' if i % 4 < 2 else 'read'}/{i}") for i in range(1200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    read = pages.select("page_id", urlrules.host_of("url").alias("host"), urlrules.path_of("url").alias("path")).withColumn("tokens", urlrules.tokens())
+    seen = F.crc32("host") % 2 == 0
+    labelled = read.where(seen).select("tokens", F.coalesce(urlrules.seed_label(), F.lit("allow")).alias("label"))
+    rules = urlrules.mine(labelled, 0.02, 5, 0.8, 3, 2000)
+    # a path part that goes with the seed words is a rule of its own
+    assert {("p:slots",), ("p:read",)} <= {tuple(t) for t, *_ in rules}
+    hidden = read.where(~seen).withColumn("tokens", F.filter("tokens", lambda t: ~t.isin("h:casino", "h:bets")))
+    got = urlrules.match(hidden.select("tokens").distinct(), rules).join(hidden, "tokens").collect()
+    assert len(got) == hidden.count() and all((r.mined_verdict == "block") == (r.page_id % 4 < 2) for r in got)
+
+
 # nearest neighbours
 
 
