@@ -119,14 +119,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: in
     """Texts with a label to learn from: doc_id, text, y. At most ``max_rows`` label rows whose
     remainder is not ``held``, chosen by a hash of doc_id, so the sample, unlike the corpus, is bounded
     and may be broadcast to the scan of the texts. Of texts that share a doc_id the one whose hash is the
-    least teaches, so there are no more texts than label rows; it is chosen by hashes before texts move."""
+    least teaches, so there are no more texts than label rows."""
     chosen = (
         labels.select("doc_id", F.col(target).cast("int").alias("y"))
         .where(F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), modulus) != held))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    found = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).join(F.broadcast(chosen), "doc_id")
-    # no more rows than ``chosen``
-    one = found.groupBy("doc_id").agg(F.min("key").alias("key"))
-    return found.join(F.broadcast(one), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))

@@ -51,8 +51,9 @@ def test_components_against_union_find(spark):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         parent[b] = a
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in parent if find(x) != x}
+    for in_one in (0, 40, 1 << 21):
+        got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), in_one=in_one).collect()}
+        assert got == {x: find(x) for x in parent if find(x) != x}
 
 
 # SimHash
