@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.functions import policy as pol
@@ -21,19 +21,21 @@ _INNER, _ZONE = (8, 8, 24, 24), (4, 4, 28, 28)
 _FILL = """SELECT r, CASE WHEN reason_code = 'verify.visual.fill-ok' THEN 'pass' ELSE 'fail' END AS outcome, reason_code FROM (SELECT r, CASE WHEN max(cand) - min(cand) > 4 THEN 'verify.visual.non-uniform-fill'
   WHEN (max(cand) + min(cand)) / 2e0 > 8 THEN 'verify.visual.unexpected-fill' WHEN bool_or(abs(cand - src) <= 4 AND src > 8) THEN 'verify.visual.retained-pixels' ELSE 'verify.visual.fill-ok' END AS reason_code
   FROM pixels WHERE x >= 8 AND x < 24 AND y >= 8 AND y < 24 GROUP BY r)"""
+_ALL_FILLS = f"""SELECT n.r, CASE WHEN n.pixels <> 1024 THEN 'indeterminate' ELSE f.outcome END AS outcome, CASE WHEN n.pixels <> 1024 THEN 'verify.visual.render-unavailable' ELSE f.reason_code END AS reason_code
+  FROM (SELECT r, count(*) AS pixels FROM pixels GROUP BY r) n LEFT JOIN ({_FILL}) f USING (r)"""
+_RASTER = "doc_id % (SELECT max(vec_id) // 16 + 1 FROM embeddings)"
 _DAMAGE = "SELECT r, bool_or(NOT (x >= 4 AND x < 28 AND y >= 4 AND y < 28) AND abs(cand - src) > 2) AS damaged FROM pixels GROUP BY r"
 
 
-@query("fill_checks", with_(f"SELECT * FROM ({_FILL}) WHERE r IN (SELECT r FROM pixels GROUP BY r HAVING count(*) = 1024)", "pixels"))
+@query("fill_checks", with_(_ALL_FILLS, "pixels"))
 def fill_checks(spark, d):
-    return vis.fill_verdicts(_rasters(spark, d), _INNER)
+    """Every raster; one that lacks pixels is indeterminate."""
+    return vis.fill_verdicts(ev.raster_pixels(spark, d), _INNER, 1024)
 
 
-def _rasters(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels of complete rasters: sixteen vectors each."""
-    px = ev.raster_pixels(spark, d)
-    whole = table(spark, d, "embeddings").groupBy(F.expr("vec_id div 16").alias("r")).agg(F.count("*").alias("tiles")).where("tiles = 16").select("r")
-    return px.join(whole, "r", "left_semi")
+def _raster(spark: SparkSession, d: str) -> Column:
+    """The raster of a document: its id modulo the number of rasters, so each raster has its share of the documents."""
+    return F.col("doc_id") % table(spark, d, "embeddings").select(F.expr("max(vec_id) div 16 + 1")).scalar()
 
 
 @query("retained_pixels", with_("SELECT r, CAST(count(*) FILTER (WHERE abs(cand - src) <= 4 AND src > 8) AS BIGINT) AS retained FROM pixels WHERE x >= 8 AND x < 24 AND y >= 8 AND y < 24 GROUP BY r", "pixels"))
@@ -92,13 +94,12 @@ def _selection_checks(spark: SparkSession, d: str) -> DataFrame:
     """Both aspects of every mark; documents with remainder 2 of 50 lack both, with 12 the visual one."""
     text = tq.verify_text_checks(spark, d).where("doc_id % 50 <> 2").select("doc_id", "mark_no", F.lit("text").alias("aspect"), "outcome", "reason_code")
     fills = fill_checks(spark, d)
-    # the raster of a document is its id modulo the number of rasters that every scale has
-    shown = ev.marks(spark, d).where("doc_id % 50 not in (2, 12)").withColumn("r", F.expr("doc_id % 31")).join(fills, "r")
+    shown = ev.marks(spark, d).where("doc_id % 50 not in (2, 12)").withColumn("r", _raster(spark, d)).join(fills, "r")
     return text.unionByName(shown.select("doc_id", "mark_no", F.lit("visual").alias("aspect"), "outcome", "reason_code"))
 
 
 _SELCHECKS = f"""SELECT doc_id, mark_no, 'text' AS aspect, outcome, reason_code FROM ({tq._CHECKS}) WHERE doc_id % 50 <> 2
-  UNION ALL SELECT m.doc_id, m.mark_no, 'visual', f.outcome, f.reason_code FROM marks m JOIN ({_FILL}) f ON f.r = m.doc_id % 31 WHERE m.doc_id % 50 NOT IN (2, 12)"""
+  UNION ALL SELECT m.doc_id, m.mark_no, 'visual', f.outcome, f.reason_code FROM marks m JOIN ({_ALL_FILLS}) f ON f.r = m.{_RASTER} WHERE m.doc_id % 50 NOT IN (2, 12)"""
 _SELECTIONS = """SELECT m.doc_id, m.mark_no, m.page_index, t.reason_code AS text_code, v.reason_code AS visual_code,
   CASE WHEN t.outcome IS NULL OR v.outcome IS NULL THEN 'indeterminate' WHEN 'fail' IN (t.outcome, v.outcome) THEN 'fail' WHEN 'indeterminate' IN (t.outcome, v.outcome) THEN 'indeterminate' ELSE 'pass' END AS outcome,
   CASE WHEN t.outcome IS NULL AND v.outcome IS NULL THEN 'verify.report.selection-missing' WHEN t.outcome IS NULL OR v.outcome IS NULL THEN 'verify.report.aspect-missing' WHEN t.outcome = 'fail' THEN t.reason_code
@@ -114,8 +115,8 @@ def assembled_selections(spark, d):
 def _reports(spark: SparkSession, d: str) -> DataFrame:
     marks = ev.marks(spark, d)
     docs = _requested(spark, d)
-    damage = vis.outside_damage(_rasters(spark, d), _ZONE)
-    pages = docs.withColumn("r", F.expr("doc_id % 31")).join(damage, "r", "left")
+    damage = vis.outside_damage(ev.raster_pixels(spark, d), _ZONE, 1024)
+    pages = docs.withColumn("r", _raster(spark, d)).join(damage, "r", "left")
     worst = F.when(F.col("damaged").isNull(), "indeterminate").when(F.col("damaged"), "fail").otherwise("pass")
     why = F.when(F.col("damaged").isNull(), "verify.visual.render-unavailable").when(F.col("damaged"), "verify.visual.outside-damage").otherwise("verify.visual.outside-ok")
     outside = ver.outside_fold(pages.select("doc_id", F.lit(0).alias("ord"), worst.alias("outcome"), why.alias("reason_code")))
@@ -123,12 +124,13 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
     return ver.reports(docs, _document_checks(spark, d), selections, outside, tq.duplicate_warnings(spark, d))
 
 
-_OUT = f"SELECT r.doc_id, coalesce(g.damaged, false) AS damaged FROM req r LEFT JOIN ({_DAMAGE}) g ON g.r = r.doc_id % 31"
+_OUT = f"""SELECT doc_id, CASE WHEN damaged IS NULL THEN 'indeterminate' WHEN damaged THEN 'fail' ELSE 'pass' END AS outcome, 'verify.visual.' || CASE WHEN damaged IS NULL THEN 'render-unavailable' WHEN damaged THEN 'outside-damage' ELSE 'outside-ok' END AS reason_code
+  FROM (SELECT r.doc_id, g.damaged FROM req r LEFT JOIN (SELECT * FROM ({_DAMAGE}) JOIN (SELECT r FROM pixels GROUP BY r HAVING count(*) = 1024) USING (r)) g ON g.r = r.{_RASTER})"""
 _REPORT = """SELECT r.doc_id, CASE WHEN bool_or(o.outcome = 'fail') THEN 'fail' WHEN bool_or(o.outcome = 'indeterminate') THEN 'indeterminate' ELSE 'pass' END AS outcome, any_value(c.reason_codes) AS reason_codes, any_value(s.n) AS rect_count, coalesce(any_value(w.n), 0) AS warnings
-  FROM req r JOIN (SELECT doc_id, outcome FROM dchecks UNION ALL SELECT doc_id, outcome FROM sel UNION ALL SELECT doc_id, CASE WHEN damaged THEN 'fail' ELSE 'pass' END FROM outside) o USING (doc_id)
+  FROM req r JOIN (SELECT doc_id, outcome FROM dchecks UNION ALL SELECT doc_id, outcome FROM sel UNION ALL SELECT doc_id, outcome FROM outside) o USING (doc_id)
   JOIN (SELECT doc_id, string_agg(reason_code, ',' ORDER BY part, ord) AS reason_codes FROM (SELECT doc_id, reason_code, part, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, reason_code ORDER BY part, ord) AS k FROM (
       SELECT doc_id, 0 AS part, ord, reason_code FROM dchecks UNION ALL SELECT doc_id, 1, mark_no * 3, text_code FROM sel WHERE text_code IS NOT NULL UNION ALL SELECT doc_id, 1, mark_no * 3 + 1, visual_code FROM sel WHERE visual_code IS NOT NULL
-      UNION ALL SELECT doc_id, 1, mark_no * 3 + 2, reason_code FROM sel WHERE text_code IS NULL OR visual_code IS NULL UNION ALL SELECT doc_id, 2, 0, CASE WHEN damaged THEN 'verify.visual.outside-damage' ELSE 'verify.visual.outside-ok' END FROM outside)) WHERE k = 1) GROUP BY doc_id) c USING (doc_id)
+      UNION ALL SELECT doc_id, 1, mark_no * 3 + 2, reason_code FROM sel WHERE text_code IS NULL OR visual_code IS NULL UNION ALL SELECT doc_id, 2, 0, reason_code FROM outside)) WHERE k = 1) GROUP BY doc_id) c USING (doc_id)
   JOIN (SELECT doc_id, count(*) AS n FROM marks GROUP BY doc_id) s USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM warned GROUP BY doc_id) w USING (doc_id) GROUP BY r.doc_id"""
 _WARNED = f"SELECT v.doc_id, v.mark_no, min(p.page_index) AS page_index FROM ({tq._SELECTED}) v JOIN ({tq._PAGE_TEXT}) p ON p.doc_id = v.doc_id AND contains(p.value, v.value) WHERE v.value <> '' GROUP BY v.doc_id, v.mark_no"
 _PARTS = dict(req=_REQ, dchecks=_DOCCHECKS, selchecks=_SELCHECKS, sel=_SELECTIONS, outside=_OUT, warned=_WARNED, report=_REPORT)
@@ -161,14 +163,14 @@ def canonical_report_json(spark, d):
     "all_checks",
     with_(
         """SELECT doc_id, family, outcome, count(*) AS n FROM (SELECT doc_id, 'document' AS family, outcome FROM dchecks UNION ALL SELECT doc_id, aspect, outcome FROM selchecks
-        UNION ALL SELECT doc_id, 'outside', CASE WHEN damaged THEN 'fail' ELSE 'pass' END FROM outside UNION ALL SELECT doc_id, 'warning', 'advisory' FROM warned) GROUP BY ALL""",
+        UNION ALL SELECT doc_id, 'outside', outcome FROM outside UNION ALL SELECT doc_id, 'warning', 'advisory' FROM warned) GROUP BY ALL""",
         *_NEEDS, **_PARTS,
     ),
 )
 def all_checks(spark, d):
     """Every check family side by side, counted by document and outcome."""
-    damage = vis.outside_damage(_rasters(spark, d), _ZONE)
-    outside = _requested(spark, d).withColumn("r", F.expr("doc_id % 31")).join(damage, "r", "left")
+    damage = vis.outside_damage(ev.raster_pixels(spark, d), _ZONE, 1024)
+    outside = _requested(spark, d).withColumn("r", _raster(spark, d)).join(damage, "r", "left")
     union = (
         _document_checks(spark, d).select("doc_id", F.lit("document").alias("family"), "outcome")
         .unionByName(_selection_checks(spark, d).select("doc_id", F.col("aspect").alias("family"), "outcome"))
