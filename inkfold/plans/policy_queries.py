@@ -265,7 +265,11 @@ def candidate_identity(spark, d):
     return docs.withColumn("is_hex", F.col("sha256").rlike("^[0-9a-f]{64}$"))
 
 
-@query("latin1_round_trip")
+@query(
+    "latin1_round_trip",
+    """SELECT doc_id, array_to_string(list_transform(range(1, length(chars) + 1), lambda i: printf('%02X', unicode(chars[i]))), '') = h AS is_equal, length(chars) = length(h) // 2 AS one_to_one
+    FROM (SELECT doc_id, h, array_to_string(list_transform(range(0, length(h) // 2), lambda i: chr(CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER))), '') AS chars FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents))""",
+)
 def latin1_round_trip(spark, d):
     """Bytes to one character each and back; the bytes survive unchanged."""
     raw = F.col("text").cast("binary")

@@ -55,6 +55,13 @@ _CTES = {
       least(1e0, CASE WHEN dx > 0 THEN (mx1 - ax) / dx WHEN dx < 0 THEN (mx0 - ax) / dx ELSE 1e0 END, CASE WHEN dy > 0 THEN (my1 - ay) / dy WHEN dy < 0 THEN (my0 - ay) / dy ELSE 1e0 END) AS u1,
       (dx = 0 AND (ax < mx0 OR ax > mx1)) OR (dy = 0 AND (ay < my0 OR ay > my1)) AS apart FROM deltas""",
     "intervals": "SELECT *, CASE WHEN NOT apart AND u0 <= u1 THEN u0 END AS t0, CASE WHEN NOT apart AND u0 <= u1 THEN u1 END AS t1 FROM bounds",
+    "workmsgs": """SELECT event_id AS request_id, props, k, ['OPEN_SOURCE', 'APPLY_REDACTIONS', 'CANDIDATE_READY', 'TRANSFORM_FAILED', 'VERIFY_CANDIDATE', 'VERIFY_CHECKPOINT', 'VERIFY_RESULT', 'VERIFY_FAILED', 'FIND_PAGE'][event_id % 9 + 1] AS type,
+      CASE WHEN k % 41 <> 1 THEN octet_length(encode(props)) END AS payload_bytes, CASE WHEN k % 43 <> 1 THEN octet_length(encode(props)) END AS source_bytes,
+      CASE WHEN k % 7 = 6 THEN 0 WHEN k % 47 <> 5 THEN 2 END AS rects, octet_length(encode(props)) + CASE WHEN k % 3 = 2 THEN 1 ELSE 0 END AS byte_length,
+      CASE k % 53 WHEN 2 THEN upper(sha256(props)) WHEN 3 THEN substr(sha256(props), 1, 63) WHEN 4 THEN NULL ELSE sha256(props) END AS digest,
+      CASE WHEN k % 6 = 5 THEN NULL ELSE ['timeout', 'digest-mismatch', 'slow'][k % 3 + 1] END AS reason,
+      k % 37 = 0 AS old_transform, k % 37 = 1 AS old_verify, k % 37 = 2 AS old_policy, k % 37 = 3 AS old_redaction, k % 37 = 4 AS old_save,
+      k % 11 = 3 OR k % 11 = 5 OR k % 13 = 6 OR k % 13 = 7 OR k % 17 = 4 AS bad_shape, k % 17 = 4 OR k % 19 = 2 AS lacks_field, k % 23 = 9 OR k % 29 = 8 OR k % 31 = 12 AS bad_page FROM (SELECT *, event_id // 9 AS k FROM events)""",
     "msgs": """SELECT event_id AS request_id, user_id AS session, ts,
       ['OPEN_SOURCE', 'RENDER_PAGE', 'EXTRACT_TEXT_PAGE', 'APPLY_REDACTIONS', 'VERIFY_CANDIDATE', 'FIND_PAGE'][event_id % 6 + 1] AS type,
       CASE WHEN event_id % 9 <> 0 THEN event_id % 12 END AS page, value / 20 AS scale, event_id % 9 = 0 AS broken FROM events""",

@@ -46,6 +46,18 @@ def stroke_rewrites(spark, d):
     return out.select("doc_id", F.regexp_count("text", F.lit(r"(?m)^S$")).cast("long").alias("stroke_runs"), F.regexp_count("text", F.lit(r"(?m)^f$")).cast("long").alias("cap_fills"), F.md5("clipped").alias("clipped_md5"))
 
 
+@query("form_clip")
+def form_clip(spark, d):
+    """Pages that draw their strokes as a form, shifted; one path in 13 draws it within itself, one in 17 lacks it."""
+    s = _streams(spark, d)
+    drawn = F.lit("q 1 0 0 1 5 7 cm /F0 Do Q\n").cast("binary")
+    inner = F.when(F.expr("doc_id % 13 = 0"), F.concat("stream", F.lit("\n/F0 Do").cast("binary"))).when(F.expr("doc_id % 17 <> 0"), F.col("stream"))
+    form = F.struct(F.lit("F0").alias("name"), inner.alias("stream"), F.array(*[F.lit(float(v)) for v in (1, 0, 0, 1, -5, -7)]).alias("matrix"))
+    out = cs.clip_pages(s.select("doc_id", drawn.alias("stream"), "marks", F.array(form).alias("forms")))
+    changed = F.element_at("forms", F.lit("F0"))
+    return out.select("doc_id", F.col("clipped").isNotNull().alias("changed"), changed.isNotNull().alias("form_changed"), F.md5(changed).alias("form_md5"), "error")
+
+
 @query("curve_partition")
 def curve_partition(spark, d):
     s = ev.strokes(spark, d).select(

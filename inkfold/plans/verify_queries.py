@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions import policy as pol
 from inkfold.functions.predicates import within
+from inkfold.operators import protocol as pr
 from inkfold.operators import textchecks as tc
 from inkfold.operators import verification as ver
 from inkfold.operators import visual as vis
@@ -248,3 +249,53 @@ def verify_dispatch(spark, d):
         .when(F.expr("request_id % 22 = 4"), "parse-error").when(F.expr("request_id % 26 = 4"), "source-unavailable").otherwise("VERIFY_RESULT")
     )
     return asked.withColumn("status", status).select("request_id", "status", F.coalesce(pol.lookup(pol.VERIFY_OUTCOMES, F.col("status")), F.lit("pass")).alias("outcome"))
+
+
+_GUARD = """CASE type WHEN 'OPEN_SOURCE' THEN true WHEN 'APPLY_REDACTIONS' THEN payload_bytes IS NOT NULL AND coalesce(rects, 0) > 0 AND NOT bad_shape AND NOT (old_transform OR old_redaction OR old_save) AND k % 5 <> 4
+  WHEN 'CANDIDATE_READY' THEN payload_bytes IS NOT NULL AND coalesce(regexp_full_match(digest, '[0-9a-f]{64}'), false) AND byte_length = payload_bytes AND k % 10 <> 9 AND NOT (old_transform OR old_redaction OR old_save)
+  WHEN 'TRANSFORM_FAILED' THEN reason IS NOT NULL WHEN 'VERIFY_FAILED' THEN coalesce(reason IN ('timeout', 'digest-mismatch'), false) WHEN 'VERIFY_RESULT' THEN k % 8 <> 7 WHEN 'VERIFY_CHECKPOINT' THEN k % 4 < 2
+  WHEN 'VERIFY_CANDIDATE' THEN payload_bytes IS NOT NULL AND source_bytes IS NOT NULL AND digest IS NOT NULL AND rects IS NOT NULL AND (rects = 0 OR NOT lacks_field) AND NOT bad_page AND NOT (old_verify OR old_policy) ELSE false END"""
+
+
+@query("message_guards", with_(f"SELECT request_id, type, {_GUARD} AS is_valid FROM workmsgs", "workmsgs"))
+def message_guards(spark, d):
+    """Field by field, whether each message is one that its receiver would take."""
+    return pr.guarded(ev.worker_messages(spark, d)).select("request_id", "type", "is_valid")
+
+
+@query(
+    "transform_answers",
+    with_(
+        f"""SELECT request_id, status, CASE WHEN status = 'CANDIDATE_READY' THEN sha256(props) END AS sha256, CASE WHEN status = 'CANDIDATE_READY' THEN octet_length(encode(props))::DOUBLE END AS byte_length
+        FROM (SELECT *, CASE WHEN NOT is_valid THEN 'invalid-request' WHEN props LIKE '%7%' THEN 'engine-error' WHEN k % 12 IN (5, 7) OR k % 8 = 5 THEN 'self-check-failed' ELSE 'CANDIDATE_READY' END AS status
+          FROM (SELECT request_id, props, k, {_GUARD} AS is_valid FROM workmsgs WHERE type = 'APPLY_REDACTIONS'))""",
+        "workmsgs",
+    ),
+)
+def transform_answers(spark, d):
+    """What each request to redact is answered: the engine fails on some payloads, some candidates lose pages or do not render."""
+    asked = pr.guarded(ev.worker_messages(spark, d).where("type = 'APPLY_REDACTIONS'"))
+    asked = asked.withColumns({
+        "candidate": F.when(~F.col("props").contains("7"), F.col("props")), "source_pages": 1 + F.col("k") % 4,
+        "candidate_pages": F.when(F.expr("k % 12 = 5"), F.col("k") % 4).when(F.expr("k % 12 <> 7"), 1 + F.col("k") % 4), "renders": F.expr("k % 8 <> 5"),
+    })
+    return pr.transform_answers(asked)
+
+
+@query(
+    "verify_answers",
+    with_(
+        f"""SELECT request_id, status, CASE WHEN status = 'VERIFY_RESULT' THEN 'pass' WHEN status IN ('digest-mismatch', 'parse-error') THEN 'fail' ELSE 'indeterminate' END AS outcome
+        FROM (SELECT request_id, CASE WHEN NOT is_valid THEN 'protocol' WHEN octet_length(encode(props)) * (1 + k % 9) * 1000000 > 67108864 THEN 'budget-exhausted' WHEN digest IS NULL OR sha256(props) <> digest THEN 'digest-mismatch'
+          WHEN k % 7 = 3 THEN 'parse-error' WHEN k % 5 = 1 THEN 'source-unavailable' ELSE 'VERIFY_RESULT' END AS status FROM (SELECT *, {_GUARD} AS is_valid FROM workmsgs WHERE type = 'VERIFY_CANDIDATE'))""",
+        "workmsgs",
+    ),
+)
+def verify_answers(spark, d):
+    """What each request to verify is answered, gate by gate; sizes are planted in millions of bytes."""
+    asked = pr.guarded(ev.worker_messages(spark, d).where("type = 'VERIFY_CANDIDATE'"))
+    asked = asked.withColumns({
+        "candidate": F.col("props"), "candidate_size": F.octet_length("props").cast("long") * (1 + F.col("k") % 9) * 1_000_000, "expected_sha256": F.col("sha256"),
+        "candidate_opens": F.expr("k % 7 <> 3"), "source_opens": F.expr("k % 5 <> 1"),
+    })
+    return pr.verify_answers(asked)

@@ -208,3 +208,42 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("request_id"), F.col("user_id").alias("session"), "ts", kind.alias("type"),
         F.when(~broken, F.expr("event_id % 12")).alias("page"), (F.col("value") / 20).alias("scale"), broken.alias("broken"),
     )
+
+
+#: Worker message types of the guard evidence, the last of which no worker knows.
+MESSAGE_TYPES = ("OPEN_SOURCE", "APPLY_REDACTIONS", "CANDIDATE_READY", "TRANSFORM_FAILED", "VERIFY_CANDIDATE", "VERIFY_CHECKPOINT", "VERIFY_RESULT", "VERIFY_FAILED", "FIND_PAGE")
+
+
+def worker_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed message per event. Each field is broken in its own way by a remainder of k, the event's number within
+    its type: absent, not a number, unordered, of another version, in capitals, of another length."""
+    from inkfold.functions import policy as pol
+
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), "props", F.expr(f"event_id div {len(MESSAGE_TYPES)}").alias("k"))
+    kind = F.element_at(F.array(*map(F.lit, MESSAGE_TYPES)), (F.col("request_id") % len(MESSAGE_TYPES) + 1).cast("int"))
+    k = F.col("k")
+    odd = lambda every, rest, broken, value: F.when(k % every == rest, broken).otherwise(value)
+    number = lambda x: x.cast("double")
+
+    def rect(i: int) -> Column:
+        x0, y0 = number(10 + k % 50 + i), number(20 + k % 70)
+        return F.struct(
+            odd(11, 3, F.lit(0.5), odd(11, 5, F.lit(-1.0), number(F.lit(i)))).alias("page"), x0.alias("x0"), y0.alias("y0"),
+            odd(13, 6, x0, odd(13, 7, F.lit(float("nan")), x0 + 5)).alias("x1"), odd(17, 4, F.lit(None).cast("double"), y0 + 9).alias("y1"),
+            odd(19, 2, F.lit(None).cast("string"), F.concat(F.lit("s"), k.cast("string"))).alias("selection_id"), number(F.lit(i + 1)).alias("number"),
+        )
+
+    view = F.array(F.lit(0.0), F.lit(0.0), F.lit(612.0), odd(23, 9, F.lit(None).cast("double"), F.lit(792.0)))
+    page = F.struct(F.lit(0.0).alias("page"), odd(29, 8, F.slice(view, 1, 3), view).alias("view"), odd(31, 12, F.lit(45.0), number(90 * (k % 4))).alias("rotation"))
+    versions = [odd(37, n, F.lit(f"{v}x"), F.lit(v)).alias(name) for n, (name, v) in enumerate(pol.VERSIONS.items())]
+    digest = F.sha2("props", 256)
+    size = F.octet_length("props").cast("double")
+    return e.select(
+        "request_id", "k", kind.alias("type"), odd(41, 1, F.lit(None).cast("double"), size).alias("payload_bytes"), odd(43, 1, F.lit(None).cast("double"), size).alias("source_bytes"),
+        F.when(k % 7 == 6, F.filter(F.array(rect(0)), lambda x: F.lit(False))).when(k % 47 == 5, None).otherwise(F.array(rect(0), rect(1))).alias("rects"),
+        F.array(page).alias("expected_pages"), F.struct(*versions).alias("policy"), odd(5, 4, F.lit(None).cast("boolean"), k % 2 == 0).alias("sanitize"),
+        odd(53, 2, F.upper(digest), odd(53, 3, F.substring(digest, 1, 63), odd(53, 4, F.lit(None).cast("string"), digest))).alias("sha256"),
+        odd(3, 2, size + 1, size).alias("byte_length"), odd(10, 9, F.lit("maybe"), F.when(k % 2 == 0, "ok").otherwise("failed")).alias("self_check"),
+        odd(6, 5, F.lit(None).cast("string"), F.when(k % 3 == 0, "timeout").when(k % 3 == 1, "digest-mismatch").otherwise("slow")).alias("reason"),
+        F.when(k % 4 == 0, "reopened").when(k % 4 == 1, "checks-done").when(k % 4 == 2, "done").alias("checkpoint"), F.when(k % 8 != 7, True).alias("has_result"), "props",
+    )

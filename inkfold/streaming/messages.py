@@ -17,20 +17,26 @@ def validated(messages: DataFrame) -> DataFrame:
     return messages.withColumn("is_valid", F.coalesce(valid_message(), F.lit(False)))
 
 
-def superseding(messages: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """session, request_id of the newest render request of each session so far; use update output."""
+def superseding(messages: DataFrame, watermark: str = "10 minutes", window: str = "1 hour") -> DataFrame:
+    """session, window, request_id of the newest render request of each session within each window of event time; use
+    update output. A request supersedes those of its window, and a window's state goes once the watermark passes it."""
     asked = messages.where("type = 'RENDER_PAGE'").withWatermark("ts", watermark)
-    return asked.groupBy("session").agg(F.max("request_id").alias("request_id"), F.count("*").alias("requests"))
+    return asked.groupBy("session", F.window("ts", window).alias("window")).agg(F.max("request_id").alias("request_id"), F.count("*").alias("requests"))
 
 
-def render_sessions(messages: DataFrame) -> DataFrame:
+def render_sessions(messages: DataFrame, watermark: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
     """session, request_id, verdict: a renderer answers only between its open and its close. The state of
-    a session is one word; messages of one batch are taken in order of request_id."""
+    a session is one word; messages of one batch are taken in order of request_id. A session that the watermark
+    leaves ``idle_ms`` behind is forgotten, and not open if it comes back."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = state.get[0] if state.exists else "not_open"
-        rows = []
+        rows, latest = [], state.getCurrentWatermarkMs()
         for m in pd.concat(list(batches)).sort_values("request_id").itertuples():
+            latest = max(latest, int(m.ts.timestamp() * 1000))
             if m.type == "OPEN_RENDERER":
                 verdict = "opened" if now == "not_open" else "invalid_request"
                 now = "open" if now == "not_open" else now
@@ -42,9 +48,10 @@ def render_sessions(messages: DataFrame) -> DataFrame:
                 verdict = "accepted" if m.is_valid else "invalid_request"
             rows.append((key[0], m.request_id, verdict))
         state.update((now,))
+        state.setTimeoutTimestamp(latest + idle_ms)
         yield pd.DataFrame(rows, columns=["session", "request_id", "verdict"])
 
     return (
-        validated(messages).select("session", "request_id", "type", "is_valid").groupBy("session")
-        .applyInPandasWithState(step, "session long, request_id long, verdict string", "now string", "append", GroupStateTimeout.NoTimeout)
+        validated(messages).withWatermark("ts", watermark).select("session", "request_id", "ts", "type", "is_valid").groupBy("session")
+        .applyInPandasWithState(step, "session long, request_id long, verdict string", "now string", "append", GroupStateTimeout.EventTimeTimeout)
     )
