@@ -143,16 +143,10 @@ def with_text_box(items: DataFrame) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
-def text_box(matrix: tuple[Column, ...], w: Column) -> tuple[Column, Box]:
-    """Whether an item of this matrix and width has an ink box, and the box: as with_text_box, for items in arrays."""
-    a, b, c, d, e, f = matrix
-    advance, height = F.hypot(a, b), F.hypot(c, d)
-    mirrored = a * d - b * c < 0
-    ux, uy = a / advance, b / advance
-    below, above = (F.when(mirrored, p).otherwise(q) * height for p, q in ((ASCENT_RATIO, DESCENT_RATIO), (DESCENT_RATIO, ASCENT_RATIO)))
-    xs = [e + uy * below, e + ux * w + uy * below, e - uy * above, e + ux * w - uy * above]
-    ys = [f - ux * below, f + uy * w - ux * below, f + ux * above, f + uy * w + ux * above]
-    return finite(*matrix, w) & (advance > 0) & (height > 0), (F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+def upright_box(size: float, x: Column, y: Column, width: Column) -> Box:
+    """The ink box of an item with the matrix (size, 0, 0, size, x, y) and a width of at least zero: that of
+    with_text_box, for items in arrays, whose expressions are not compiled and should be short."""
+    return x, y - DESCENT_RATIO * size, x + width, y + ASCENT_RATIO * size
 
 
 def device_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions.geometry import Box
 from inkfold.functions.predicates import touches
-from inkfold.functions.text import collapsed, visible
+from inkfold.functions.text import collapsed
 from inkfold.sources.tables import settled
 
 _BOX = ("x0", "y0", "x1", "y1")
@@ -48,8 +48,8 @@ def _words(items: Column) -> Column:
 
 
 def joined_text(items: Column) -> Column:
-    """The visible text of items, in order; empty where there is none."""
-    return collapsed(F.array_join(_words(F.filter(items, lambda i: visible(i["str"]))), " "))
+    """The visible text of items, in order; empty where there is none. An item without any collapses into its blanks."""
+    return collapsed(F.array_join(_words(items), " "))
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -71,32 +71,50 @@ def kept_text(docs: DataFrame) -> DataFrame:
 
 
 def checked(docs: DataFrame, overlaid: Column) -> DataFrame:
-    """doc_id, pages of page_index, text (what the candidate shows outside the marks), and selections: mark_no, value
-    (visible source text under the mark) and remaining (visible candidate text touches it). The candidate keeps no
-    item that touches a mark, unless ``overlaid``: painted over only, it keeps all."""
+    """doc_id, overlaid, pages of page_index, text (what the candidate shows outside the marks), and selections: mark_no
+    and value (visible source text under the mark). The candidate keeps no item that touches a mark, unless
+    ``overlaid``: painted over only, it keeps all."""
+
+    def flagged(p: Column) -> Column:
+        """Each item is held against the page's marks once."""
+        hit = F.when(F.size(p["marks"]) == 0, F.array().cast("array<boolean>")).otherwise(F.transform(p["items"], lambda i: _touched(i, p["marks"])))
+        return F.struct(p["page_index"].alias("page_index"), p["items"].alias("items"), p["marks"].alias("marks"), hit.alias("hit"))
+
+    def sorted_out(p: Column) -> Column:
+        bare = F.size(p["hit"]) == 0
+        clear = F.when(bare, p["items"]).otherwise(F.filter(p["items"], lambda i, k: ~F.get(p["hit"], k)))
+        under = F.when(bare, F.slice(p["items"], 1, 0)).otherwise(F.filter(p["items"], lambda i, k: F.get(p["hit"], k)))
+        return F.struct(p["page_index"].alias("page_index"), p["marks"].alias("marks"), under.alias("under"), joined_text(clear).alias("text"))
 
     def selection(p: Column, m: Column) -> Column:
-        under = F.filter(p["items"], lambda i: touches(_box(i), _box(m)) & visible(i["str"]))
-        return F.struct(m["mark_no"].alias("mark_no"), collapsed(F.array_join(_words(under), " ")).alias("value"), (overlaid & (F.size(under) > 0)).alias("remaining"))
+        value = joined_text(F.filter(p["under"], lambda i: touches(_box(i), _box(m))))
+        return F.struct(m["mark_no"].alias("mark_no"), value.alias("value"))
 
     def page(p: Column) -> Column:
-        clear = F.when(F.size(p["marks"]) == 0, p["items"]).otherwise(F.filter(p["items"], lambda i: ~_touched(i, p["marks"])))
-        return F.struct(p["page_index"].alias("page_index"), joined_text(clear).alias("text"), F.transform(p["marks"], lambda m: selection(p, m)).alias("selections"))
+        return F.struct(p["page_index"].alias("page_index"), p["text"].alias("text"), F.transform(p["marks"], lambda m: selection(p, m)).alias("selections"))
 
-    return docs.select("doc_id", F.transform("pages", page).alias("pages"))
+    pages = F.transform(F.transform(F.transform("pages", flagged), sorted_out), page)
+    return settled(docs.select("doc_id", overlaid.alias("overlaid"), "pages"), "found", pages).select("doc_id", "overlaid", F.col("found").alias("pages"))
 
 
 def selections(found: DataFrame) -> DataFrame:
-    """doc_id, page_index, mark_no, value, remaining of every mark."""
-    pages = found.select("doc_id", F.explode_outer("pages").alias("p")).select("doc_id", "p.page_index", F.explode_outer("p.selections").alias("s"))
-    return pages.where("s is not null").select("doc_id", "page_index", "s.*")
+    """doc_id, page_index, mark_no, value, remaining, and duplicate, the first candidate page whose text outside the
+    marks holds the value, of every mark."""
+
+    def one(p: Column, s: Column) -> Column:
+        holding = F.filter("pages", lambda q: F.contains(q["text"], s["value"]))
+        duplicate = F.when(s["value"] != "", F.array_min(F.transform(holding, lambda q: q["page_index"])))
+        return F.struct(p["page_index"].alias("page_index"), s["mark_no"].alias("mark_no"), s["value"].alias("value"), (F.col("overlaid") & (s["value"] != "")).alias("remaining"), duplicate.alias("duplicate"))
+
+    all_ = F.flatten(F.transform("pages", lambda p: F.transform(p["selections"], lambda s: one(p, s))))
+    return found.select("doc_id", F.explode_outer(all_).alias("s")).where("s is not null").select("doc_id", "s.*")
 
 
 def text_checks(found: DataFrame) -> DataFrame:
-    """Every mark with outcome and reason: fail if visible text of the candidate touches it."""
+    """Every mark with outcome and reason: fail if visible text of the candidate touches it; and duplicate, as above."""
     return selections(found).select(
         "doc_id", "mark_no", "page_index", F.when(F.col("remaining"), "fail").otherwise("pass").alias("outcome"),
-        F.when(F.col("remaining"), "verify.text.remaining-text").otherwise("verify.text.clear").alias("reason_code"),
+        F.when(F.col("remaining"), "verify.text.remaining-text").otherwise("verify.text.clear").alias("reason_code"), "duplicate",
     )
 
 
@@ -107,11 +125,4 @@ def page_text(found: DataFrame) -> DataFrame:
 
 def duplicate_warnings(found: DataFrame) -> DataFrame:
     """doc_id, mark_no, page_index of the first candidate page whose unmarked text holds a mark's value."""
-    values = F.filter(F.flatten(F.transform("pages", lambda p: p["selections"])), lambda s: s["value"] != "")
-
-    def first(s: Column) -> Column:
-        holding = F.filter("pages", lambda p: F.contains(p["text"], s["value"]))
-        return F.struct(s["mark_no"], F.array_min(F.transform(holding, lambda p: p["page_index"])).alias("page_index"))
-
-    out = found.select("doc_id", "pages", values.alias("wanted")).select("doc_id", F.explode_outer(F.transform("wanted", first)).alias("s"))
-    return out.where("s.page_index is not null").select("doc_id", "s.mark_no", "s.page_index")
+    return selections(found).where("duplicate is not null").select("doc_id", "mark_no", F.col("duplicate").alias("page_index"))

@@ -55,10 +55,10 @@ def document_checks(docs: DataFrame, expected: DataFrame, candidate: DataFrame,
 
 def assembled_selections(requested: DataFrame, checks: DataFrame) -> DataFrame:
     """Every requested (doc_id, mark_no) with outcome, reason_code and both aspects' codes. checks:
-    doc_id, mark_no, aspect, outcome, reason_code. A missing aspect is indeterminate whatever the other says."""
+    doc_id, mark_no, aspect, outcome, reason_code, and warned if known. A missing aspect is indeterminate whatever the other says."""
     of = lambda aspect, what: F.max(F.when(F.col("aspect") == aspect, F.col(what)))
     found = checks.groupBy("doc_id", "mark_no").agg(
-        of("text", "outcome").alias("text_outcome"), of("text", "reason_code").alias("text_code"), of("visual", "outcome").alias("visual_outcome"), of("visual", "reason_code").alias("visual_code"),
+        (F.bool_or("warned") if "warned" in checks.columns else F.lit(False)).alias("warned"), of("text", "outcome").alias("text_outcome"), of("text", "reason_code").alias("text_code"), of("visual", "outcome").alias("visual_outcome"), of("visual", "reason_code").alias("visual_code"),
     )
     all_ = requested.select("doc_id", "mark_no", "page_index").join(found, ["doc_id", "mark_no"], "left")
     t, v = F.col("text_outcome"), F.col("visual_outcome")
@@ -67,7 +67,7 @@ def assembled_selections(requested: DataFrame, checks: DataFrame) -> DataFrame:
         F.when(t.isNull() & v.isNull(), "verify.report.selection-missing").when(t.isNull() | v.isNull(), "verify.report.aspect-missing")
         .when(outcome_rank(v) > outcome_rank(t), F.col("visual_code")).otherwise(F.col("text_code"))
     )
-    return all_.select("doc_id", "mark_no", "page_index", outcome.alias("outcome"), code.alias("reason_code"), "text_code", "visual_code")
+    return all_.select("doc_id", "mark_no", "page_index", outcome.alias("outcome"), code.alias("reason_code"), "text_code", "visual_code", F.coalesce("warned", F.lit(False)).alias("warned"))
 
 
 def outside_fold(pages: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def outside_fold(pages: DataFrame) -> DataFrame:
     return best.select("doc_id", outcome_of(F.col("rank")).alias("outcome"), F.when(F.col("rank") == 0, "verify.visual.outside-ok").otherwise(F.col("reason_code")).alias("reason_code"))
 
 
-def reports(docs: DataFrame, checks: DataFrame, selections: DataFrame, outside: DataFrame, warnings: DataFrame) -> DataFrame:
+def reports(docs: DataFrame, checks: DataFrame, selections: DataFrame, outside: DataFrame) -> DataFrame:
     """doc_id, outcome, reason_codes (each once, in order of first use), counts of each part."""
     combined = F.when(F.col("text_code").isNull() | F.col("visual_code").isNull(), F.col("reason_code"))
     codes = (
@@ -95,9 +95,8 @@ def reports(docs: DataFrame, checks: DataFrame, selections: DataFrame, outside:
         checks.select("doc_id", "outcome").unionByName(selections.select("doc_id", "outcome")).unionByName(outside.select("doc_id", "outcome"))
         .groupBy("doc_id").agg(F.max(outcome_rank(F.col("outcome"))).alias("rank"))
     )
-    rects = selections.groupBy("doc_id").agg(F.count("*").alias("rect_count"))
-    warned = warnings.groupBy("doc_id").agg(F.count("*").alias("warnings"))
-    out = docs.select("doc_id").join(worst, "doc_id", "left").join(listed, "doc_id", "left").join(rects, "doc_id", "left").join(warned, "doc_id", "left")
+    rects = selections.groupBy("doc_id").agg(F.count("*").alias("rect_count"), F.count_if("warned").alias("warnings"))
+    out = docs.select("doc_id").join(worst, "doc_id", "left").join(listed, "doc_id", "left").join(rects, "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", outcome_of(F.coalesce("rank", F.lit(0))).alias("outcome"), F.coalesce("reason_codes", F.lit("")).alias("reason_codes"), zero("rect_count"), zero("warnings"))
 

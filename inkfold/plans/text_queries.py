@@ -59,7 +59,7 @@ _CHECKS = """SELECT m.doc_id, m.mark_no, m.page_index, CASE WHEN h.mark_no IS NU
 
 @query("verify_text_checks", with_(_CHECKS, "marks", "cand"))
 def verify_text_checks(spark, d):
-    return tc.text_checks(checked(spark, d))
+    return tc.text_checks(checked(spark, d)).drop("duplicate")
 
 
 _SELECTED = """SELECT m.doc_id, m.mark_no, coalesce(string_agg(b.str, ' ' ORDER BY b.ord), '') AS value FROM marks m LEFT JOIN boxed b ON b.doc_id = m.doc_id

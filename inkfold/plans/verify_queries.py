@@ -92,11 +92,13 @@ def introduced_names(spark, d):
 
 
 def _selection_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Both aspects of every mark; documents with remainder 2 of 50 lack both, with 12 the visual one."""
-    text = tq.verify_text_checks(spark, d).where("doc_id % 50 <> 2").select("doc_id", "mark_no", F.lit("text").alias("aspect"), "outcome", "reason_code")
+    """Both aspects of every mark, and whether its text occurs elsewhere; documents with remainder 2 of 50 lack both
+    aspects (the text's outcome is null), with 12 the visual one."""
+    known = lambda c: F.when(F.expr("doc_id % 50 <> 2"), F.col(c)).alias(c)
+    text = tc.text_checks(tq.checked(spark, d)).select("doc_id", "mark_no", F.lit("text").alias("aspect"), known("outcome"), known("reason_code"), F.col("duplicate").isNotNull().alias("warned"))
     fills = fill_checks(spark, d)
     shown = ev.marks(spark, d).where("doc_id % 50 not in (2, 12)").withColumn("r", _raster(spark, d)).join(fills, "r")
-    return text.unionByName(shown.select("doc_id", "mark_no", F.lit("visual").alias("aspect"), "outcome", "reason_code"))
+    return text.unionByName(shown.select("doc_id", "mark_no", F.lit("visual").alias("aspect"), "outcome", "reason_code", F.lit(False).alias("warned")))
 
 
 _SELCHECKS = f"""SELECT doc_id, mark_no, 'text' AS aspect, outcome, reason_code FROM ({tq._CHECKS}) WHERE doc_id % 50 <> 2
@@ -110,7 +112,7 @@ _SELECTIONS = """SELECT m.doc_id, m.mark_no, m.page_index, t.reason_code AS text
 
 @query("assembled_selections", with_("SELECT doc_id, mark_no, page_index, outcome, reason_code FROM sel", "marks", "cand", "pixels", selchecks=_SELCHECKS, sel=_SELECTIONS))
 def assembled_selections(spark, d):
-    return ver.assembled_selections(ev.marks(spark, d), _selection_checks(spark, d)).drop("text_code", "visual_code")
+    return ver.assembled_selections(ev.marks(spark, d), _selection_checks(spark, d)).drop("text_code", "visual_code", "warned")
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +124,7 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
     why = F.when(F.col("damaged").isNull(), "verify.visual.render-unavailable").when(F.col("damaged"), "verify.visual.outside-damage").otherwise("verify.visual.outside-ok")
     outside = ver.outside_fold(pages.select("doc_id", F.lit(0).alias("ord"), worst.alias("outcome"), why.alias("reason_code")))
     selections = ver.assembled_selections(marks, _selection_checks(spark, d))
-    return ver.reports(docs, _document_checks(spark, d), selections, outside, tq.duplicate_warnings(spark, d))
+    return ver.reports(docs, _document_checks(spark, d), selections, outside)
 
 
 _OUT = f"""SELECT doc_id, CASE WHEN damaged IS NULL THEN 'indeterminate' WHEN damaged THEN 'fail' ELSE 'pass' END AS outcome, 'verify.visual.' || CASE WHEN damaged IS NULL THEN 'render-unavailable' WHEN damaged THEN 'outside-damage' ELSE 'outside-ok' END AS reason_code
@@ -172,11 +174,12 @@ def all_checks(spark, d):
     """Every check family side by side, counted by document and outcome."""
     damage = vis.outside_damage(ev.raster_pixels(spark, d), _ZONE, 1024)
     outside = _requested(spark, d).withColumn("r", _raster(spark, d)).join(damage, "r", "left")
+    checks = _selection_checks(spark, d)
     union = (
         _document_checks(spark, d).select("doc_id", F.lit("document").alias("family"), "outcome")
-        .unionByName(_selection_checks(spark, d).select("doc_id", F.col("aspect").alias("family"), "outcome"))
+        .unionByName(checks.where("outcome is not null").select("doc_id", F.col("aspect").alias("family"), "outcome"))
         .unionByName(outside.select("doc_id", F.lit("outside").alias("family"), F.when(F.col("damaged").isNull(), "indeterminate").when(F.col("damaged"), "fail").otherwise("pass").alias("outcome")))
-        .unionByName(tq.duplicate_warnings(spark, d).select("doc_id", F.lit("warning").alias("family"), F.lit("advisory").alias("outcome")))
+        .unionByName(checks.where("warned").select("doc_id", F.lit("warning").alias("family"), F.lit("advisory").alias("outcome")))
     )
     return union.groupBy("doc_id", "family", "outcome").agg(F.count("*").alias("n"))
 

@@ -75,13 +75,15 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = settled(docs.select("doc_id", "ws", n.alias("n")), "marks", marked)
 
     def item(page: Column, word: Column, i: Column) -> Column:
-        unit = [F.lit(float(v)) for v in (10, 0, 0, 10)]
-        x, y = 36 + 54 * (i % 10), 740 - 18 * (F.floor(i / 10) % 40)
-        _, box = g.text_box((*unit, x.cast("double"), y.cast("double")), F.least(5 * F.length(word), F.lit(50)).cast("double"))
-        return F.struct((page * PER_PAGE + i).alias("ord"), word.alias("str"), *[v.alias(c) for v, c in zip(box, ("x0", "y0", "x1", "y1"))])
+        # place and advance first, so that the box does not compute them again at every edge
+        return F.struct((page * PER_PAGE + i).alias("ord"), word.alias("str"), (36 + 54 * (i % 10)).cast("double").alias("x"), (740 - 18 * (F.floor(i / 10) % 40)).cast("double").alias("y"), F.least(5 * F.length(word), F.lit(50)).cast("double").alias("w"))
+
+    def boxed(i: Column) -> Column:
+        box = g.upright_box(10.0, i["x"], i["y"], i["w"])
+        return F.struct(i["ord"].alias("ord"), i["str"].alias("str"), *[v.alias(c) for v, c in zip(box, ("x0", "y0", "x1", "y1"))])
 
     def page(p: Column) -> Column:
-        items = F.transform(F.slice("ws", (p * PER_PAGE + 1).cast("int"), F.lit(PER_PAGE)), lambda word, i: item(p, word, i))
+        items = F.transform(F.transform(F.slice("ws", (p * PER_PAGE + 1).cast("int"), F.lit(PER_PAGE)), lambda word, i: item(p, word, i)), boxed)
         return F.struct(p.alias("page_index"), items.alias("items"), F.filter("marks", lambda m: m["page_index"] == p).alias("marks"))
 
     last = F.expr(f"(n - 1) div {PER_PAGE}")
