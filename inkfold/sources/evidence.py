@@ -17,7 +17,8 @@ PER_PAGE = 400
 
 
 def _words() -> Column:
-    return F.regexp_extract_all("text", F.lit(r"([^ \t\r\n]+)"))
+    bare = F.btrim("text", F.lit(" \t\r\n"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[ \t\r\n]+"))
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
