@@ -80,25 +80,21 @@ def outside_fold(pages: DataFrame) -> DataFrame:
 
 def reports(docs: DataFrame, checks: DataFrame, selections: DataFrame, outside: DataFrame) -> DataFrame:
     """doc_id, outcome, reason_codes (each once, in order of first use), counts of each part."""
+    at = lambda part, ord_, code: F.struct(F.lit(part).alias("part"), ord_.cast("long").alias("ord"), F.col(code).alias("code") if isinstance(code, str) else code.alias("code"))
+    rank = F.max(outcome_rank(F.col("outcome")))
     combined = F.when(F.col("text_code").isNull() | F.col("visual_code").isNull(), F.col("reason_code"))
-    codes = (
-        checks.select("doc_id", F.lit(0).alias("part"), F.col("ord"), "reason_code")
-        .unionByName(
-            selections.select("doc_id", F.lit(1).alias("part"), F.posexplode(F.array("text_code", "visual_code", combined)).alias("k", "reason_code"), "mark_no")
-            .select("doc_id", "part", (F.col("mark_no") * 3 + F.col("k")).alias("ord"), "reason_code").where("reason_code is not null")
-        )
-        .unionByName(outside.select("doc_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias("ord"), "reason_code"))
-    )
-    first = codes.groupBy("doc_id", "reason_code").agg(F.min(F.struct("part", "ord")).alias("at"))
-    listed = first.groupBy("doc_id").agg(F.expr("listagg(reason_code, ',') WITHIN GROUP (ORDER BY at.part, at.ord)").alias("reason_codes"))
-    worst = (
-        checks.select("doc_id", "outcome").unionByName(selections.select("doc_id", "outcome")).unionByName(outside.select("doc_id", "outcome"))
-        .groupBy("doc_id").agg(F.max(outcome_rank(F.col("outcome"))).alias("rank"))
-    )
-    rects = selections.groupBy("doc_id").agg(F.count("*").alias("rect_count"), F.count_if("warned").alias("warnings"))
-    out = docs.select("doc_id").join(worst, "doc_id", "left").join(listed, "doc_id", "left").join(rects, "doc_id", "left")
+    # each part is read once: its worst outcome, its codes and its counts by document
+    of_checks = checks.groupBy("doc_id").agg(rank.alias("r0"), F.collect_list(at(0, F.col("ord"), "reason_code")).alias("c0"))
+    listed = F.array(*[at(1, F.col("mark_no") * 3 + k, c) for k, c in enumerate(("text_code", "visual_code", combined))])
+    of_marks = selections.groupBy("doc_id").agg(rank.alias("r1"), F.flatten(F.collect_list(listed)).alias("c1"), F.count("*").alias("rect_count"), F.count_if("warned").alias("warnings"))
+    of_pages = outside.groupBy("doc_id").agg(rank.alias("r2"), F.collect_list(at(2, F.lit(0), "reason_code")).alias("c2"))
+    out = docs.select("doc_id").join(of_checks, "doc_id", "left").join(of_marks, "doc_id", "left").join(of_pages, "doc_id", "left")
+    none = F.array().cast("array<struct<part:int,ord:bigint,code:string>>")
+    used = F.filter(F.concat(*(F.coalesce(c, none) for c in ("c0", "c1", "c2"))), lambda x: x["code"].isNotNull())
+    codes = F.array_distinct(F.transform(F.array_sort(used), lambda x: x["code"]))
+    worst = F.greatest(*(F.coalesce(r, F.lit(0)) for r in ("r0", "r1", "r2")))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", outcome_of(F.coalesce("rank", F.lit(0))).alias("outcome"), F.coalesce("reason_codes", F.lit("")).alias("reason_codes"), zero("rect_count"), zero("warnings"))
+    return out.select("doc_id", outcome_of(worst).alias("outcome"), F.array_join(codes, ",").alias("reason_codes"), zero("rect_count"), zero("warnings"))
 
 
 def latest(requests: DataFrame, key: str, order: str) -> DataFrame:
