@@ -12,28 +12,35 @@ from itertools import combinations
 import numpy as np
 
 
-def halves(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 4, 2) control points of the first and second halves."""
-    a = (p[:, :-1] + p[:, 1:]) / 2
-    b = (a[:, :-1] + a[:, 1:]) / 2
-    c = (b[:, :1] + b[:, 1:]) / 2
-    return np.concatenate([p[:, :1], a[:, :1], b[:, :1], c], 1), np.concatenate([c, b[:, 1:], a[:, 2:], p[:, 3:]], 1)
-
-
-def separated(p: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """The hull of each row's points and the interior of its rectangle (x0, y0, x1, y1) have a separating axis."""
-    low, high = p.min(1), p.max(1)
-    out = (high[:, 0] <= r[:, 0]) | (low[:, 0] >= r[:, 2]) | (high[:, 1] <= r[:, 1]) | (low[:, 1] >= r[:, 3])
-    open_ = np.flatnonzero(~out)
-    corners = np.stack([r[open_][:, [x, y]] for x in (0, 2) for y in (1, 3)], 1)
-    for i, j in combinations(range(p.shape[1]), 2):
-        q = p[open_]
-        axis = np.stack([q[:, i, 1] - q[:, j, 1], q[:, j, 0] - q[:, i, 0]], 1)
-        a, b = np.einsum("nkd,nd->nk", q, axis), np.einsum("nkd,nd->nk", corners, axis)
-        apart = (a.max(1) <= b.min(1)) | (b.max(1) <= a.min(1))
-        apart &= (q[:, i] != q[:, j]).any(1)
-        out[open_[apart]] = True
-        open_, corners = open_[~apart], corners[~apart]
+Points = list[np.ndarray]
+
+
+def halves(c: Points) -> tuple[Points, Points]:
+    """One coordinate of the four control points of the first and second halves."""
+    a, b, d = (c[0] + c[1]) / 2, (c[1] + c[2]) / 2, (c[2] + c[3]) / 2
+    e, f = (a + b) / 2, (b + d) / 2
+    mid = (e + f) / 2
+    return [c[0], a, e, mid], [mid, f, d, c[3]]
+
+
+def lowest(c: Points) -> np.ndarray:
+    return np.minimum(np.minimum(c[0], c[1]), np.minimum(c[2], c[3]))
+
+
+def highest(c: Points) -> np.ndarray:
+    return np.maximum(np.maximum(c[0], c[1]), np.maximum(c[2], c[3]))
+
+
+def slanted(x: Points, y: Points, r: Points) -> np.ndarray:
+    """A line through two of the points separates the hull from the interior of the rectangle (x0, y0, x1, y1)."""
+    out = np.zeros(len(x[0]), bool)
+    for i, j in combinations(range(4), 2):
+        u, v = y[i] - y[j], x[j] - x[i]
+        along = [x[k] * u + y[k] * v for k in range(4)]
+        # the corners' extremes: rounding is monotone, so the sum of the least products is the least sum
+        left, right, below, above = r[0] * u, r[2] * u, r[1] * v, r[3] * v
+        least, most = np.minimum(left, right) + np.minimum(below, above), np.maximum(left, right) + np.maximum(below, above)
+        out |= ((highest(along) <= least) | (most <= lowest(along))) & ((u != 0) | (v != 0))
     return out
 
 
@@ -41,20 +48,27 @@ def kept_ranges(p: np.ndarray, marks: np.ndarray, depth: int) -> tuple[np.ndarra
     """(row, t0, t1) of the parameter ranges outside each row's mark, in order; neighbouring pieces are one range."""
     row = np.arange(len(p))
     t0, t1 = np.zeros(len(p)), np.ones(len(p))
+    x, y = ([np.ascontiguousarray(p[:, k, c]) for k in range(4)] for c in (0, 1))
+    edges = [np.ascontiguousarray(marks[:, k]) for k in range(4)]
     kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for level in range(depth + 1):
-        r = marks[row]
-        clear = separated(p, r)
+        r = edges if level == 0 else [e[row] for e in edges]
+        low_x, high_x, low_y, high_y = lowest(x), highest(x), lowest(y), highest(y)
+        clear = (high_x <= r[0]) | (low_x >= r[2]) | (high_y <= r[1]) | (low_y >= r[3])
+        inside = (low_x > r[0]) & (high_x < r[2]) & (low_y > r[1]) & (high_y < r[3])
+        open_ = np.flatnonzero(~(clear | inside))
+        x, y = [c[open_] for c in x], [c[open_] for c in y]
+        apart = slanted(x, y, [e[open_] for e in r])
+        clear[open_[apart]] = True
         kept.append((row[clear], t0[clear], t1[clear]))
-        inside = ((p > r[:, None, :2]) & (p < r[:, None, 2:])).all((1, 2))
-        unclear = ~clear & ~inside
-        if level == depth or not unclear.any():
+        if level == depth or apart.all():
             break
+        unclear = open_[~apart]
+        x, y = ([np.concatenate(two) for two in zip(*halves([c[~apart] for c in axis]))] for axis in (x, y))
         row, t0, t1 = row[unclear], t0[unclear], t1[unclear]
         mid = (t0 + t1) / 2
-        p = np.concatenate(halves(p[unclear]))
         row, t0, t1 = np.concatenate([row, row]), np.concatenate([t0, mid]), np.concatenate([mid, t1])
-    row, t0, t1 = (np.concatenate(x) for x in zip(*kept))
+    row, t0, t1 = (np.concatenate(v) for v in zip(*kept))
     order = np.lexsort([t0, row])
     row, t0, t1 = row[order], t0[order], t1[order]
     fresh = np.ones(len(row), bool)
@@ -73,3 +87,12 @@ def arc(p: np.ndarray, t: np.ndarray, steps: int = 64) -> np.ndarray:
     factor = np.where(np.arange(steps + 1) % 2, 4.0, 2.0)
     factor[[0, -1]] = 1.0
     return h / 3 * (speed @ factor)
+
+
+def kept_arcs(p: np.ndarray, row: np.ndarray, t0: np.ndarray, t1: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Length of each range (row, t0, t1), given the curves' ``whole`` lengths; only ends inside a curve are measured."""
+    upto = np.where(t1 == 1, whole[row], 0.0)
+    for t, sign in ((t1, 1.0), (t0, -1.0)):
+        inner = np.flatnonzero((t > 0) & (t < 1))
+        upto[inner] += sign * arc(p[row[inner]], t[inner])
+    return upto
