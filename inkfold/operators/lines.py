@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions import predicates as p
 from inkfold.functions.geometry import Box
-
+from inkfold.sources.tables import settled
 
 
 def _ends() -> tuple[Column, Column, Column, Column]:
@@ -33,39 +33,47 @@ def touched(segments: DataFrame) -> DataFrame:
 def removed_intervals(segments: DataFrame) -> DataFrame:
     """segments with the parameter interval t0, t1 inside the mark; a segment along an edge keeps everything."""
     t0, t1 = p.segment_interval(*_ends(), _mark())
-    along = p.along_edge(*_ends(), _mark())
-    out = segments.withColumns({"t0": t0, "t1": t1, "along": along})
-    return out.withColumns({"t0": F.when(~F.col("along"), F.col("t0")), "t1": F.when(~F.col("along"), F.col("t1"))}).drop("along")
+    inside = settled(segments, "inside", F.when(~p.along_edge(*_ends(), _mark()), F.struct(t0.alias("t0"), t1.alias("t1"))))
+    return inside.select("*", "inside.t0", "inside.t1").drop("inside")
 
 
 def union_intervals(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge (t0, t1) per key where they meet within 1e-12. An island opens where a start lies beyond the
-    largest end before it."""
+    """keys, t0, t1, parts: (t0, t1) merged per key where they meet within 1e-12, with the number merged. An island opens
+    where a start lies beyond the largest end before it."""
     order = Window.partitionBy(*keys).orderBy("t0", "t1")
     reach = F.max("t1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = intervals.withColumn("opens", F.when(reach.isNull() | (F.col("t0") > reach + 1e-12), 1).otherwise(0))
     island = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return opened.withColumn("island", island).groupBy(*keys, "island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    return opened.withColumn("island", island).groupBy(*keys, "island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count("*").alias("parts")).drop("island")
+
+
+def gaps(removed: Column) -> Column:
+    """Array of (k0, k1), what stays of [0, 1] without the removed (t0, t1), which are sorted and may overlap."""
+    none = F.array().cast("array<struct<k0:double,k1:double>>")
+
+    def step(done: Column, gone: Column) -> Column:
+        gap = F.array(F.struct(done["reach"].alias("k0"), F.least(gone["t0"], F.lit(1.0)).alias("k1")))
+        kept = F.when(gone["t0"] > done["reach"] + 1e-12, F.concat(done["kept"], gap)).otherwise(done["kept"])
+        return F.struct(F.greatest(done["reach"], gone["t1"]).alias("reach"), kept.alias("kept"))
 
+    def tail(done: Column) -> Column:
+        return F.concat(done["kept"], F.array(F.struct(done["reach"].alias("k0"), F.lit(1.0).alias("k1"))))
 
-def complement(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """The kept intervals of [0, 1] per key. Keys without a removed interval are the caller's to keep whole."""
-    order = Window.partitionBy(*keys).orderBy("t0")
-    gaps = merged.select(*keys, F.coalesce(F.lag("t1").over(order), F.lit(0.0)).alias("k0"), F.least("t0", F.lit(1.0)).alias("k1"))
-    tail = merged.groupBy(*keys).agg(F.max("t1").alias("k0")).withColumn("k1", F.lit(1.0))
-    return gaps.unionByName(tail).where("k1 > k0 + 1e-12")
+    walked = F.aggregate(removed, F.struct(F.lit(0.0).alias("reach"), none.alias("kept")), step, tail)
+    return F.filter(walked, lambda piece: piece["k1"] > piece["k0"] + 1e-12)
 
 
 def kept_pieces(segments: DataFrame) -> DataFrame:
-    """path, seg, k0, k1, arc (length along the path before the piece) of what stays of each segment."""
-    keys = ["path", "seg"]
+    """path, seg, ax, ay, bx, by, len, before (length of the path up to the segment), k0, k1, arc (length up to the piece)
+    of what stays of each segment, which has a row for each of its marks. Everything is keyed by path, so segments that
+    come dealt by path are not shuffled again; a list holds the marks of one segment."""
     cut = removed_intervals(segments)
-    kept = complement(union_intervals(cut.where("t0 is not null").select(*keys, "t0", "t1"), keys), keys)
-    whole = cut.where("t0 is null").select(*keys, F.lit(0.0).alias("k0"), F.lit(1.0).alias("k1"))
+    gone = F.collect_list(F.when(F.col("t0").isNotNull(), F.struct("t0", "t1")))
+    one = cut.groupBy("path", "seg").agg(*[F.first(c).alias(c) for c in ("ax", "ay", "bx", "by")], F.sort_array(gone).alias("gone"))
     before = F.sum("len").over(Window.partitionBy("path").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1))
-    walked = segments.select(*keys, *("ax", "ay", "bx", "by"), length().alias("len")).withColumn("before", F.coalesce(before, F.lit(0.0)))
-    pieces = kept.unionByName(whole).join(walked, keys).where("len > 0 and (k1 - k0) * len >= 1e-12")
-    return pieces.withColumn("arc", F.col("before") + F.col("k0") * F.col("len"))
+    walked = one.withColumn("len", length()).withColumn("before", F.coalesce(before, F.lit(0.0))).where("len > 0")
+    pieces = walked.select("path", "seg", "ax", "ay", "bx", "by", "len", "before", F.inline(gaps(F.col("gone"))))
+    return pieces.where("(k1 - k0) * len >= 1e-12").withColumn("arc", F.col("before") + F.col("k0") * F.col("len"))
 
 
 def stitched_runs(pieces: DataFrame) -> DataFrame:

@@ -53,12 +53,8 @@ _ENDS = """SELECT path, seg, t0, t1, least(t0 / 2, t1 / 3) AS s0, t1 / 2 AS s1 F
 def interval_union(spark, d):
     """Removed intervals of a path's segments laid over one another and merged."""
     cut = ln.p.segment_interval(*ln._ends(), ln._mark())
-    parts = ev.strokes(spark, d).select("path", "seg", cut[0].alias("t0"), cut[1].alias("t1")).where("t0 is not null")
-    order = ln.Window.partitionBy("path").orderBy("t0", "t1", "seg")
-    reach = F.max("t1").over(order.rowsBetween(ln.Window.unboundedPreceding, -1))
-    opened = parts.withColumn("opens", F.when(reach.isNull() | (F.col("t0") > reach + 1e-12), 1).otherwise(0))
-    islands = opened.withColumn("island", F.sum("opens").over(order.rowsBetween(ln.Window.unboundedPreceding, ln.Window.currentRow)))
-    return islands.groupBy("path", "island").agg(F.round(F.min("t0"), 6).alias("t0"), F.round(F.max("t1"), 6).alias("t1"), F.count("*").alias("parts")).drop("island")
+    parts = ev.strokes(spark, d).select("path", cut[0].alias("t0"), cut[1].alias("t1")).where("t0 is not null")
+    return ln.union_intervals(parts, ["path"]).select("path", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"), "parts")
 
 
 _PIECES = f"""SELECT c.path, c.seg, k0, k1, w.ax, w.ay, w.bx, w.by_, w.len, w.before + k0 * w.len AS arc FROM (

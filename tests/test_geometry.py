@@ -103,3 +103,17 @@ def test_along_edge_and_enters(spark):
 @pytest.mark.parametrize("value,text", [(612.0, "612"), (0.5, "0.5"), (-3.25, "-3.25")])
 def test_number_text(spark, value, text):
     assert one(spark, t=g.number_text(F.lit(value))).t == text
+
+
+def test_a_segment_under_several_marks_keeps_what_none_of_them_covers(spark):
+    from inkfold.operators import lines
+
+    def row(seg, end, x0, x1):
+        return 1, seg, 0.0, 0.0, end, 0.0, 1.0, x0, -1.0, x1, 1.0
+
+    rows = [row(1, 10.0, 4.0, 6.0), row(1, 10.0, 5.0, 7.0), row(1, 10.0, 1.0, 2.0), row(1, 10.0, 20.0, 30.0), row(2, 0.0, 4.0, 6.0), row(3, 5.0, -1.0, 9.0), row(4, 5.0, 6.0, 9.0)]
+    df = spark.createDataFrame(rows, "path long, seg long, ax double, ay double, bx double, by double, line_width double, mx0 double, my0 double, mx1 double, my1 double")
+    kept = [(r.seg, round(r.k0, 9), round(r.k1, 9), round(r.arc, 9)) for r in lines.kept_pieces(df).orderBy("seg", "k0").collect()]
+    assert kept == [(1, 0.0, 0.1, 0.0), (1, 0.2, 0.4, 2.0), (1, 0.7, 1.0, 7.0), (4, 0.0, 1.0, 15.0)]
+    cut = lines.removed_intervals(df.where("seg = 1")).where("t0 is not null").select("path", "t0", "t1")
+    assert [(round(r.t0, 9), round(r.t1, 9), r.parts) for r in lines.union_intervals(cut, ["path"]).orderBy("t0").collect()] == [(0.1, 0.2, 1), (0.4, 0.7, 2)]
