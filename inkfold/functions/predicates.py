@@ -29,16 +29,26 @@ def inside(x: Column, y: Column, r: Box) -> Column:
     return (x >= r[0]) & (x < r[2]) & (y >= r[1]) & (y < r[3])
 
 
-def segment_interval(ax: Column, ay: Column, bx: Column, by: Column, r: Box) -> tuple[Column, Column]:
-    """Parameters t0 <= t1 of the part of a segment in the closed rectangle; null if none."""
+def segment_slab(ax: Column, ay: Column, bx: Column, by: Column, r: Box) -> Column:
+    """Parameters t0 and t1 where a segment's line has entered and first leaves the rectangle's four half planes, and
+    whether it ``misses`` one of them that it runs along."""
     dx, dy = bx - ax, by - ay
     edges = [(-dx, ax - r[0]), (dx, r[2] - ax), (-dy, ay - r[1]), (dy, r[3] - ay)]
     flat = [F.abs(p) < 1e-18 for p, _ in edges]
     t0 = F.greatest(F.lit(0.0), *[F.when(~f & (p < 0), F.try_divide(q, p)).otherwise(0.0) for f, (p, q) in zip(flat, edges)])
     t1 = F.least(F.lit(1.0), *[F.when(~f & (p > 0), F.try_divide(q, p)).otherwise(1.0) for f, (p, q) in zip(flat, edges)])
-    outside = reduce(lambda a, b: a | b, [f & (q < 0) for f, (_, q) in zip(flat, edges)])
-    ok = ~outside & (t0 <= t1)
-    return F.when(ok, t0), F.when(ok, t1)
+    misses = reduce(lambda a, b: a | b, [f & (q < 0) for f, (_, q) in zip(flat, edges)])
+    return F.struct(t0.alias("t0"), t1.alias("t1"), misses.alias("misses"))
+
+
+def meets(slab: Column) -> Column:
+    return ~slab["misses"] & (slab["t0"] <= slab["t1"])
+
+
+def segment_interval(ax: Column, ay: Column, bx: Column, by: Column, r: Box) -> tuple[Column, Column]:
+    """Parameters t0 <= t1 of the part of a segment in the closed rectangle; null if none."""
+    slab = segment_slab(ax, ay, bx, by, r)
+    return F.when(meets(slab), slab["t0"]), F.when(meets(slab), slab["t1"])
 
 
 def along_edge(ax: Column, ay: Column, bx: Column, by: Column, r: Box) -> Column:
@@ -77,13 +87,16 @@ def point_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
     return F.sqrt((ax + t * dx - px) ** 2 + (ay + t * dy - py) ** 2)
 
 
-def segment_distance(ax: Column, ay: Column, bx: Column, by: Column, r: Box) -> Column:
+def corner_distances(ax: Column, ay: Column, bx: Column, by: Column, r: Box) -> list[Column]:
+    return [point_segment(x, y, ax, ay, bx, by) for x in (r[0], r[2]) for y in (r[1], r[3])]
+
+
+def segment_distance(ax: Column, ay: Column, bx: Column, by: Column, r: Box, slab: Column | None = None, corners: list[Column] | None = None) -> Column:
     """Distance of a segment from the closed rectangle: zero where it enters; else the nearest of its ends
-    to the rectangle and of the corners to it."""
-    corners = [(x, y) for x in (r[0], r[2]) for y in (r[1], r[3])]
-    t0, _ = segment_interval(ax, ay, bx, by, r)
-    apart = F.least(point_distance(ax, ay, r), point_distance(bx, by, r), *[point_segment(x, y, ax, ay, bx, by) for x, y in corners])
-    return F.when(t0.isNotNull(), 0.0).otherwise(apart)
+    to the rectangle and of the corners to it. slab, corners: the segment's, where they are at hand."""
+    corners = corner_distances(ax, ay, bx, by, r) if corners is None else corners
+    apart = F.least(point_distance(ax, ay, r), point_distance(bx, by, r), *corners)
+    return F.when(meets(segment_slab(ax, ay, bx, by, r) if slab is None else slab), 0.0).otherwise(apart)
 
 
 def within(a: Column, b: Column, tolerance: int) -> Column:

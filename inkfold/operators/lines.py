@@ -23,18 +23,30 @@ def length() -> Column:
     return F.hypot(bx - ax, by - ay)
 
 
+def _entered(segments: DataFrame) -> DataFrame:
+    """segments with ``slab``, computed once: repeated inline, it outgrows what the JVM compiles."""
+    return settled(segments, "slab", p.segment_slab(*_ends(), _mark()))
+
+
 def touched(segments: DataFrame) -> DataFrame:
     """segments with distance to the mark, stroke_touched (half the width away) and fill_touched."""
-    d = p.segment_distance(*_ends(), _mark())
-    out = segments.withColumn("distance", d)
+    out, names = _entered(segments), [f"corner{k}" for k in range(4)]
+    for name, distance in zip(names, p.corner_distances(*_ends(), _mark())):
+        out = settled(out, name, distance)
+    out = settled(out, "distance", p.segment_distance(*_ends(), _mark(), F.col("slab"), [F.col(c) for c in names])).drop("slab", *names)
     return out.withColumns({"stroke_touched": F.col("distance") <= F.col("line_width") / 2 + 1e-9, "fill_touched": F.col("distance") <= F.col("line_width") / 2 + 0.75})
 
 
+def inner_intervals(segments: DataFrame) -> DataFrame:
+    """segments with the parameter interval t0, t1 in the closed mark; null if none."""
+    inner = F.when(p.meets(F.col("slab")), F.col("slab"))
+    return settled(_entered(segments), "inner", inner).select(*segments.columns, "inner.t0", "inner.t1")
+
+
 def removed_intervals(segments: DataFrame) -> DataFrame:
     """segments with the parameter interval t0, t1 inside the mark; a segment along an edge keeps everything."""
-    t0, t1 = p.segment_interval(*_ends(), _mark())
-    inside = settled(segments, "inside", F.when(~p.along_edge(*_ends(), _mark()), F.struct(t0.alias("t0"), t1.alias("t1"))))
-    return inside.select("*", "inside.t0", "inside.t1").drop("inside")
+    out = settled(inner_intervals(segments), "along", p.along_edge(*_ends(), _mark()))
+    return out.withColumns({c: F.when(~F.col("along"), F.col(c)) for c in ("t0", "t1")}).drop("along")
 
 
 def union_intervals(intervals: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,8 +52,7 @@ _ENDS = """SELECT path, seg, t0, t1, least(t0 / 2, t1 / 3) AS s0, t1 / 2 AS s1 F
 )
 def interval_union(spark, d):
     """Removed intervals of a path's segments laid over one another and merged."""
-    cut = ln.p.segment_interval(*ln._ends(), ln._mark())
-    parts = ev.strokes(spark, d).select("path", cut[0].alias("t0"), cut[1].alias("t1")).where("t0 is not null")
+    parts = ln.inner_intervals(ev.strokes(spark, d)).where("t0 is not null").select("path", "t0", "t1")
     return ln.union_intervals(parts, ["path"]).select("path", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"), "parts")
 
 

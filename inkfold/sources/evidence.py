@@ -193,13 +193,15 @@ def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *keys)
     lines = lines.withColumn("seg", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*keys)))
-    return lines.select(
-        F.col("l_orderkey").alias("path"), F.col("seg").cast("long").alias("seg"),
+    stroke = F.struct(
+        F.col("seg").cast("long").alias("seg"),
         (4 * F.col("l_quantity")).cast("double").alias("ax"), F.expr("(7 * l_partkey) % 200").cast("double").alias("ay"),
         F.expr("(13 * l_suppkey) % 200").cast("double").alias("bx"), F.expr("(3 * l_partkey + 17 * l_linenumber) % 200").cast("double").alias("by"),
         (1 + F.expr("l_linenumber % 3")).cast("double").alias("line_width"),
         *[F.expr(x).cast("double").alias(c) for c, x in (("mx0", "(11 * l_orderkey) % 160"), ("my0", "(17 * l_orderkey) % 160"), ("mx1", "(11 * l_orderkey) % 160 + 10 + l_orderkey % 40"), ("my1", "(17 * l_orderkey) % 160 + 10 + (3 * l_orderkey) % 40"))],
     )
+    # the key stays outside, so that what follows knows the rows to be dealt by it
+    return settled(lines.select(F.col("l_orderkey").alias("path"), "*"), "stroke", stroke).select("path", "stroke.*")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
